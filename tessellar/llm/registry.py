@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and module.
 QUERIES = {
+    "op4_packing": "packing",
     "op8_bpe_trie": "bpe_trie",
 }
 
