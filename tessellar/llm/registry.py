@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and module.
 QUERIES = {
     "op4_packing": "packing",
+    "op6_quality": "quality",
     "op8_bpe_trie": "bpe_trie",
 }
 
