@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op4_packing": "packing",
     "op6_quality": "quality",
+    "op7_langid": "langid",
     "op8_bpe_trie": "bpe_trie",
 }
 
