@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": "quality",
     "op7_langid": "langid",
     "op8_bpe_trie": "bpe_trie",
+    "op10_near_dedup": "near",
 }
 
 
