@@ -12,6 +12,8 @@ QUERIES = {
     "op4_packing": "packing",
     "op6_quality": "quality",
     "op7_langid": "langid",
+    "op2_kdtree_topk": "topk",
+    "op9_warc": "warc",
     "op8_bpe_trie": "bpe_trie",
     "op10_near_dedup": "near",
 }
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, module in QUERIES.items() if (sql := getattr(import_module(f"{__package__}.{module}"), "SQL", None))}
