@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and module.
 QUERIES = {
+    "op1_pii": "pii",
+    "op3_licenses": "licenses",
     "op4_packing": "packing",
     "op6_quality": "quality",
     "op7_langid": "langid",
