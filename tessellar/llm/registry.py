@@ -12,6 +12,7 @@ QUERIES = {
     "op1_pii": "pii",
     "op3_licenses": "licenses",
     "op4_packing": "packing",
+    "op5_chroma": "audio",
     "op6_quality": "quality",
     "op7_langid": "langid",
     "op2_kdtree_topk": "topk",
