@@ -8,8 +8,9 @@ takes the archives back apart, checks lengths and digests, and joins each revisi
 
 A null payload is an empty one, a null URL an empty one; line breaks and spaces in URLs are percent-encoded. Payloads of any
 length are kept whole. Payloads shorter than `min_bytes` are always written as responses. Rows that repeat both id and
-payload are each written, with the type and reference that the row would have alone. An empty table gives an empty archive and an empty result. Columns other than id, URL and
-payload are ignored.
+payload are each written, with the type and reference that the row would have alone. Rows without an id are responses, and
+nothing refers to them. An empty table gives an empty archive and an empty result. Columns other than id, URL and payload are
+ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("WARC-Record-ID", urn(F.col("id"), F.col("digest"))),
         line("WARC-Date", date),
         line("WARC-Target-URI", F.col("url")),
-        line("WARC-Row-ID", F.col("id").cast("string")),
+        line("WARC-Row-ID", F.coalesce(F.col("id").cast("string"), F.lit(""))),
         line("WARC-Payload-Digest", "sha1:", digest),
         F.when(revisit, F.concat(line("WARC-Profile", PROFILE), line("WARC-Refers-To", urn(F.col("target_id"), F.col("digest"))), line("WARC-Refers-To-Target-URI", F.col("target_url")), line("WARC-Refers-To-Date", date))).otherwise(F.lit("")),
         line("Content-Type", "application/http; msgtype=response"),
