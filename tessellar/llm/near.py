@@ -3,7 +3,7 @@
 Texts become sets of word shingles (64-bit hashes), sets become signatures of bands x rows minima. Texts with equal sets form
 a class, found by a 128-bit digest, and one member stands for it, so copies cost nothing further. Classes that share a band
 are candidates. Of a bucket, first every member is held against the smallest one (its hub); then only members that are still
-in different components are held against each other, large buckets in blocks of signatures. A candidate pair's signatures are
+in different components are held against each other, large buckets in blocks. A candidate pair's signatures are
 compared batch by batch, and it is dropped once the posterior probability that its similarity reaches the threshold (uniform
 prior) falls below `miss`; survivors are confirmed on the full shingle sets. A pair at the threshold itself shares no band
 with probability (1 - threshold^rows)^bands, 3e-6 at the default; pairs of equal sets are never missed.
@@ -212,31 +212,54 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.drop("old")
 
 
-def block_pairs(members: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
-    """Open pairs of different components in large buckets: signatures against signatures, block by block; members: key, id, component, size."""
+def block_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Links (confirmed on full sets) that join the components of large buckets' members, block against block; members: key, id, n, component, size.
+
+    A pair is looked at in the first band that it shares. A block leaves out pairs that links found in it have joined, so it
+    returns fewer rows than it has members.
+    """
     import pandas as pd
 
     kind = members.schema["id"].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
+    own_rows = written(sigs.select("id", "sig").join(texts, "id"), "block-texts")
     blocks = F.ceil(F.col("size") / s.block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component").join(sigs.select("id", "sig"), "id")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "component").join(own_rows, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        lo, hi, key = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["key"].iat[0]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        ids, comp, block = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
-        left, right, out = np.flatnonzero(block == lo), np.flatnonzero(block == hi), []
+        keys = band_keys(sig, s)
+        ids, n, block, texts = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
+        root, sets, out = pd.factorize(pdf["component"])[0], {}, []  # root: of each row, the group that links found here have made
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+
+        def own_set(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i], s.shingle)
+            return sets[i]
+
         for i in left:
-            j = right[comp[right] != comp[i]]
+            j = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= s.percent * np.maximum(n[right], n[i]))]
             if lo == hi:
                 j = j[ids[j] > ids[i]]
             if len(j):
-                found = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], s)]
-                out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in found]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+                j = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], s)]
+            if len(j):
+                same = keys[j] == keys[i]
+                j = j[keys[i][same.argmax(1)] == key]
+            for x in j:
+                if root[x] != root[i]:
+                    a, b = own_set(i), own_set(x)
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if common and 100 * common >= s.percent * (len(a) + len(b) - common):
+                        out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+                        root[root == root[x]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +275,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     hubs = members.join(reps.select(F.col("id").alias("hub"), F.col("n").alias("m")), "hub")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * s.percent
     pairs = hubs.where((F.col("id") != F.col("hub")) & fits("n", "m")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(open_pairs(pairs, reps, s), docs, s, id_col, text_col), "links")
+    links = written(confirmed(written(open_pairs(pairs, reps, s), "open-pairs"), docs, s, id_col, text_col), "links")
     labels = components(links)
     # members but the hub, in buckets where they lie in several components
     rest = members.where("id != hub and size > 2").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -262,8 +285,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
         small = rest.where(F.col("size") <= s.pairwise)
         x, y = (small.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
         few = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
-        more = open_pairs(few, reps, s).union(block_pairs(rest.where(F.col("size") > s.pairwise), reps, s)).distinct()
-        late = written(confirmed(more, docs, s, id_col, text_col), "links")
+        some = written(confirmed(written(open_pairs(few, reps, s), "open-pairs"), docs, s, id_col, text_col), "links")
+        late = written(some.union(block_links(rest.where(F.col("size") > s.pairwise), reps, docs, s, id_col, text_col)).distinct(), "links")
         if not late.isEmpty():
             labels = components(links.union(late))
     linked = classes.join(labels, "id", "left").where("copies > 1 or component is not null").select("d1", "d2", F.coalesce("component", "id").alias("component"))

@@ -96,3 +96,24 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 8, 2 * one), (0, 2, 8, 2 * one), (0, 3, 1, one), (0, 4, 2, one)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_near_large_buckets(spark):
+    """Groups whose members are not all links of the smallest one: blocks and small buckets give the components of all pairs."""
+    base = [f"w{i}" for i in range(60)]
+    rows, k = [], 0
+    for cut in range(0, 30, 3):
+        for j in range(6):
+            k += 1
+            rows.append((k, " ".join(base[:cut] + [f"x{cut}a{i}" for i in range(cut // 2)] + base[cut : 58 - j])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r["doc_id"]: r["component_id"] for r in near.near_duplicates(frame, near.Settings(shingle=2, pairwise=p, block=8)).collect()} for p in (2, 1000)]
+    sets = {k: set(near.shingles(t, 2).tolist()) for k, t in rows}
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert 1 < len(set(root.values())) < len(root)
+    assert got[0] == got[1] == root
