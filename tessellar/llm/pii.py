@@ -32,8 +32,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A number with separators, or a word with a digit or an at sign.
-CANDIDATE = r"(?<!\S)(?:[(0-9][0-9()./\x20-]{5,28}[0-9](?![\w@])|(?=\S*[0-9@])\S{5,80}(?!\S))"
+#: Brackets and quotes around an identifier. A round one opens only before another or where it is not closed before the next: "(030) 1" keeps its own.
+OPEN = r"""(?:["'\[{<«“‘„‚]|\((?=["'\[{<«“‘„‚])|\((?![^()]*\)))"""
+CLOSE = "\"'])}>»”’“‘"
+CLOSING = r"""["'\])}>»”’“‘]"""
+#: A label that an identifier is glued to.
+LABEL = r"""[A-Za-z][\w-]*+["']?[:=]"""
+#: A number with separators, or a word with a digit or an at sign, also one spelt out; with what encloses it and its label.
+CANDIDATE = rf"(?<!\S)(?:{OPEN}{{0,4}}(?:{LABEL})?{OPEN}{{0,4}}[(0-9][0-9()./\x20-]{{5,28}}[0-9](?![\w@]){CLOSING}{{0,4}}|(?=\S{{0,90}}?(?:[0-9@]|\((?i:at)\)|\[(?i:at)\]))\S{{5,80}}{CLOSING}{{0,4}}(?!\S))"
 #: What shows that a word is a base match, or holds one.
 MARKS = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]|\+[0-9][\x20().0-9-]+[0-9]"
 SHAPES = {
@@ -97,7 +103,8 @@ def located(parts: Column, found: Column) -> Column:
 
 
 def contexts(before: Column, after: Column) -> Column:
-    """The hashes of an occurrence's patterns (at most two); none without a whole word before it."""
+    """The hashes of an occurrence's patterns (at most two); none without a whole word before it. Brackets and quotes around it do not count."""
+    before, after = F.regexp_replace(before, f"(?:{OPEN})+$", ""), F.regexp_replace(after, f"^{CLOSING}+", "")
     left = F.regexp_extract_all(F.lower(before), F.lit(r"(?<=\s)\S+(?=\s)|^\S+(?=\s)|(?<=\s)\S+$"), 0)
     one, two = F.element_at(left, -1), F.try_element_at(left, F.lit(-2))
     right = F.regexp_extract(F.lower(after), r"^\s+(\S+)", 1)
@@ -122,15 +129,22 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def row(r: Column, name: Column, kind: int) -> Column:
         return F.struct(r["start"].alias("start"), (r["start"] + F.length(name)).alias("end"), F.xxhash64(F.lower(name)).alias("string"), F.lit(kind).alias("seed"), contexts(r["before"], r["after"]).alias("patterns"), *(name.rlike(SHAPES[k]).alias(f"fits_{k}") for k in KINDS))
 
-    def bare(m: Column) -> Column:
-        return F.rtrim(m, F.lit(".,;:!?"))
+    def bare(r: Column) -> Column:
+        """The occurrence without what encloses it, and without a label if what follows that has a shape; both count as before it."""
+        m = F.rtrim(r["m"], F.lit(".,;:!?" + CLOSE))
+        fits = lambda c: c.rlike("|".join(SHAPES.values()))
+        inner = F.regexp_replace(m, f"^{OPEN}+", "")
+        glued = F.regexp_replace(inner, f"^{LABEL}{OPEN}*", "")
+        name = F.when(fits(glued) & ~inner.rlike(SHAPES["ip"]), glued).otherwise(inner)
+        lead = F.length(m) - F.length(name)
+        return F.struct((r["start"] + lead).alias("start"), name.alias("m"), F.concat(r["before"], F.substring(m, F.lit(1), lead)).alias("before"), r["after"].alias("after"))
 
     seed = lambda n: lambda r: row(r, r["m"], n)
     span = lambda n: lambda r: F.struct(r["start"].alias("start"), F.lit(n).alias("kind"), r["end"].alias("end"))
     seeds = F.flatten(F.array(*(F.transform(f"l_{k}", seed(n)) for n, k in enumerate(KINDS))))
     own = F.filter("l_cand", lambda r: ~r["m"].rlike(f"{MARKS}"))
     base = F.array_sort(F.flatten(F.array(*(F.transform(f"l_{k}", span(n)) for n, k in enumerate(KINDS)))))
-    return df.select("id", "version", base.alias("base"), F.concat(seeds, F.transform(own, lambda r: row(r, bare(r["m"]), -1))).alias("near"))
+    return df.select("id", "version", base.alias("base"), F.concat(seeds, F.transform(F.transform(own, bare), lambda r: row(r, r["m"], -1))).alias("near"))
 
 
 def salted(df: DataFrame, by: str, s: Settings) -> DataFrame:

@@ -52,6 +52,27 @@ def test_patterns_find_unseen_identifiers(spark):
     assert red[100] == "please write to my number: [PHONE] today" and red[102] == rows[12][1]
 
 
+def test_patterns_find_enclosed_labelled_and_digit_free_identifiers(spark):
+    rows = [(i, f"please write to my number: +49 30 1234{i:04d} today") for i in range(10)]
+    rows += [(20 + i, f"please send to the address: user{i}@example.com today") for i in range(10)]
+    rows += [(40 + i, f"please ring them at tel: +49 40 1234{i:04d} today") for i in range(10)]
+    rows += [(60 + i, f'just fill in "{i:04d}" or call us: "+49 50 1234{i:04d}" today') for i in range(10)]
+    phone, mail = "please write to my number: {} today", "please send to the address: {} today"
+    want = [(phone, f, "030 555 1234") for f in ('"{}"', "[{}]", "({})", "'{}'", '("{}")', "<{}>", "{}")]
+    want += [(phone, f, "030-555-1234") for f in ('"{}"', "[{}]", "({})", "“{}”", "„{}“.")] + [(phone, "{}", "(030) 555 1234")]
+    want += [(mail, f, m) for f in ("{}", "<{}>", "({})", "[{}],") for m in ("jane(at)example.com", "jane[at]example.com", "jane(AT)example.com")]
+    want += [("please ring them at {} today", f, n) for f in ("tel:{}", 'tel:"{}"') for n in ("030 555 1234", "030-555-1234")]
+    want += [("or call us: {} today", '"{}"', "030 555 1234")]
+    texts = [frame.format(f.format(m)) for frame, f, m in want]
+    clean = ["room (at)last is open", 'the year was "1999-2004" indeed', "see https://example.com/a1 now", "dead:beef:0:1 is a word"]
+    df = spark.createDataFrame(rows + [(100 + i, t) for i, t in enumerate(texts + clean)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+    for i, (t, (_, _, m)) in enumerate(zip(texts, want, strict=True)):
+        at = t.index(m)
+        assert (t, got[100 + i]) == (t, f"{'phone' if m[-1].isdigit() else 'email'}:{at}:{at + len(m)}")
+    assert all(got[100 + len(texts) + i] == "" for i in range(len(clean)))
+
+
 def test_whole_table_and_empty(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
