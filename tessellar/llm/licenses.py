@@ -1,6 +1,6 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates, with Spark's own functions only.
 
-Texts are cut into blocks at line breaks and sentence ends; a block is the set of its words. A template's containment in a block is
+Texts are cut into blocks at blank lines and sentence ends, so a wrapped notice is one block; a block is the set of its words. A template's containment in a block is
 the share of the template's distinct words that the block holds. The join returns every pair of block and template that reaches
 the threshold. Only words of templates can count, so blocks keep these alone, ordered by their frequency over the whole corpus,
 rarest first. Of a template with n words, of which c must be met, one of the first n - c + 1 is in every matching block, and it
@@ -45,7 +45,7 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_END = r"[\n\r]+|(?<=[.!?;])\s+"
+BLOCK_END = r"(?:\r\n|\n|\r(?!\n))(?:[ \t\x0B\f]*(?:\r\n|\n|\r(?!\n)))+|(?<=[.!?;])\s+"
 MOST_TEMPLATE_WORDS = 20_000
 
 

@@ -39,6 +39,53 @@ def test_against_brute_force(spark):
     assert got == sorted((i if i is not None else -1, brute(t)) for i, t in rows)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def paragraphs(text):
+    """Sentences of the runs of lines that are not blank, without BLOCK_END."""
+    runs = [[]]
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if line.strip():
+            runs[-1].append(line)
+        else:
+            runs.append([])
+    out = []
+    for run in runs:
+        out.append("")
+        for word in " ".join(run).split():
+            out[-1] += " " + word
+            if word[-1] in ".!?;":
+                out.append("")
+    return out
+
+
+def test_wrapped_notices(spark):
+    notices = {"mit": MIT, "bsd": BSD, "isc": ISC}
+    texts = []
+    for t in notices.values():
+        texts += [t, "Copyright (c) Someone\n\n" + t + "\n\nmore", t.replace("\n", "\r\n"), t.replace("\n", "\r"), "# " + t.replace("\n", "\n# "), "/*\n * " + t.replace("\n", "\n * ") + "\n */", t.replace("\n", "\n\n"), t.replace("\n", "\r\n \t\r\n")]
+    rows = {r["doc_id"]: r for r in L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        found = {}
+        for block in paragraphs(text):
+            for label, t in L.TEMPLATES:
+                ws = set(L.words_of(t))
+                share = len(ws & set(L.words_of(block))) / len(ws)
+                if share >= 0.8:
+                    found[label] = max(found.get(label, 0), share)
+        assert (text, rows[i]["labels"], round(rows[i]["score"], 9)) == (text, ",".join(sorted(found)), round(max(found.values(), default=0.0), 9))
+        if i % 8 < 6:
+            assert list(notices)[i // 8] in found
+
+
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows_of(L.op3_licenses(spark, "/root/testdata/sf0.001")) == sorted((r["doc_id"], brute(r["text"])) for r in docs.collect())
