@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,8 +16,8 @@ def flip(pixels: DataFrame, height: int) -> DataFrame:
     return pixels.withColumn("y", F.lit(height) - 1 - F.col("y"))
 
 
-def chroma_box(pixels: DataFrame, value: str, width: int, height: int) -> DataFrame:
-    """2 x 2 means, rounded; the last sample of an odd edge counts twice."""
+def chroma_box(pixels: DataFrame, value: str, width: int | Column, height: int | Column) -> DataFrame:
+    """2 x 2 means, rounded; the last sample of an odd edge counts twice. Edges may be columns of pixels, where lines differ in length."""
     weight = F.when((F.col("x") == width - 1) & (F.col("x") % 2 == 0), 2).otherwise(1) * F.when((F.col("y") == height - 1) & (F.col("y") % 2 == 0), 2).otherwise(1)
     half = lambda c: F.shiftright(F.col(c), 1).alias(c)
     return pixels.groupBy(half("x"), half("y")).agg(F.shiftright(F.sum(F.col(value) * weight) + 2, 2).alias(value))

@@ -40,6 +40,15 @@ def chroma_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.chroma_point(raster(spark, sf_dir).select("x", "y", F.col("r").alias("luma")), chroma(spark, sf_dir)).select("x", "y", "luma", "u", "v")
 
 
+def chroma_box_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the whole raster. Its last row may be short: columns past it end a row earlier, and boxes that begin in it end with it."""
+    p = raster(spark, sf_dir).select("x", "y", "r")
+    last = p.agg(F.max(F.struct("y", "x")).alias("last")).select(F.col("last.x").alias("last_x"), F.col("last.y").alias("last_y"))
+    width = F.when((F.col("y") == F.col("last_y")) & (F.col("y") % 2 == 0), F.col("last_x") + 1).otherwise(64)
+    height = F.col("last_y") + F.when(F.col("x") <= F.col("last_x"), 1).otherwise(0)
+    return geometry.chroma_box(p.crossJoin(F.broadcast(last)), "r", width, height)
+
+
 def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     palette = spark.range(200).select(F.col("id").alias("entry"), (F.col("id") * 3 % 256).alias("r"), (F.col("id") * 5 % 256).alias("b"))
     return geometry.palette_lookup(raster(spark, sf_dir).select("x", "y", "g"), palette).select("x", "y", "g", "r", "b")
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crop": lambda s, d: geometry.crop(raster(s, d), 3, 5, 31, 29),
     "flip": lambda s, d: geometry.flip(raster(s, d), 4096).withColumn("y", F.col("y").cast("long")),
     "chroma_box": lambda s, d: geometry.chroma_box(raster(s, d).where("y < 15 and x < 63").select("x", "y", "r"), "r", 63, 15),
+    "chroma_box_whole": chroma_box_whole,
     "chroma_point": chroma_point,
     "palette_lookup": palette_lookup,
     "unfilter_horizontal": unfiltered(geometry.unfilter_horizontal),
@@ -101,6 +111,7 @@ SQL = {
     "crop": "SELECT x - 3 AS x, y - 5 AS y, r, g, b, a FROM p WHERE x >= 3 AND x < 34 AND y >= 5 AND y < 34",
     "flip": "SELECT x, 4095 - y AS y, r, g, b, a FROM p",
     "chroma_box": ", i AS (SELECT least(2*cx+dx, 62) AS x, least(2*cy+dy, 14) AS y, cx, cy FROM range(32) t1(cx), range(8) t2(cy), range(2) t3(dx), range(2) t4(dy)) SELECT cx AS x, cy AS y, CAST((sum(r) + 2) // 4 AS BIGINT) AS r FROM i JOIN p USING (x, y) GROUP BY cx, cy",
+    "chroma_box_whole": ", w AS (SELECT y, max(x) AS r_edge FROM p GROUP BY y), h AS (SELECT x, max(y) AS bottom FROM p GROUP BY x), b AS (SELECT DISTINCT x // 2 AS cx, y // 2 AS cy FROM p), i AS (SELECT cx, cy, dy, least(2*cx+dx, r_edge) AS x FROM b JOIN w ON w.y = 2*cy, range(2) t3(dx), range(2) t4(dy)), j AS (SELECT cx, cy, x, least(2*cy+dy, bottom) AS y FROM i JOIN h USING (x)) SELECT cx AS x, cy AS y, CAST((sum(r) + 2) // 4 AS BIGINT) AS r FROM j JOIN p USING (x, y) GROUP BY cx, cy",
     "chroma_point": "SELECT l.x, l.y, l.r AS luma, c.g AS u, c.b AS v FROM p l JOIN p c ON c.x = l.x - l.x % 2 AND c.y = l.y - l.y % 2",
     "palette_lookup": "SELECT x, y, g, CASE WHEN g < 200 THEN g*3%256 ELSE 0 END AS r, CASE WHEN g < 200 THEN g*5%256 ELSE 0 END AS b FROM p",
     "unfilter_horizontal": ", c AS (SELECT y, sum(a) OVER (ORDER BY y ROWS UNBOUNDED PRECEDING) - a AS up FROM p WHERE x = 0) SELECT p.x, p.y, CAST((sum(a) OVER (PARTITION BY p.y ORDER BY p.x ROWS UNBOUNDED PRECEDING) + up) % 256 AS BIGINT) AS a FROM p JOIN c USING (y)",
