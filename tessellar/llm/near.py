@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 Texts become sets of word shingles (64-bit hashes), sets become signatures of bands x rows minima. Texts with equal sets form
-a class, found by a 128-bit digest, and one member stands for it, so copies cost nothing further. Classes that share a band
+a class, named by a 128-bit digest, and one text stands for it, so copies cost nothing further. Classes that share a band
 are candidates. Of a bucket, first every member is held against the smallest one (its hub); then only members that are still
 in different components are held against each other, large buckets in blocks. A candidate pair's signatures are
 compared batch by batch, and it is dropped once the posterior probability that its similarity reaches the threshold (uniform
@@ -9,9 +9,12 @@ prior) falls below `miss`; survivors are confirmed on the full shingle sets. A p
 with probability (1 - threshold^rows)^bands, 3e-6 at the default; pairs of equal sets are never missed.
 
 Links are joined to components by minimum labels with pointer jumping, on written tables; nothing but counts goes to the
-driver. Texts that are null or without words have an empty set and are linked with nothing, not even each other. Each row of
-the input gives a row; repeated rows fall into one class; rows that share an id but not a text are linked by their own
-texts. An empty table gives an empty result. Columns other than the id and the text are ignored.
+driver. Classes, pairs and labels are keyed by the digest, never by the id: rows that share an id but not a text are linked by
+their own texts. Joins on a hub, a label or a class go through keyed_join, as one of them may hold much of the table.
+
+Texts that are null or without words have an empty set and are linked with nothing, not even each other. Each row of
+the input gives a row; repeated rows fall into one class. A component's id is its smallest id that is not null, null if there
+is none. An empty table gives an empty result. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import keyed_join, table, text_or_empty, written
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,7 +126,7 @@ def surviving(u: np.ndarray, v: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def sign(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """id, n, d1 and d2 (digest of the set), sig (binary)."""
+    """id, version (hash of the text), n, cls (digest of the set), sig (both binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -131,13 +134,14 @@ def sign(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = [shingles(t, s.shingle) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, s.shingle) for t in part.column(2).to_pylist()]
                 sig = signatures(sets, s)
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "n", "d1", "d2", "sig"])
+                digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "version", "n", "cls", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, sig binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("version"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, version long, n long, cls binary, sig binary")
 
 
 def unpack(column: pa.Array, s: Settings) -> np.ndarray:
@@ -145,7 +149,7 @@ def unpack(column: pa.Array, s: Settings) -> np.ndarray:
 
 
 def banded(reps: DataFrame, s: Settings) -> DataFrame:
-    """A row for each class and band: key, id, n."""
+    """A row for each class and band: key, cls, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,14 +157,13 @@ def banded(reps: DataFrame, s: Settings) -> DataFrame:
                 part = b.slice(at, 2000)
                 keys = band_keys(unpack(part.column(2), s), s)
                 owner = pa.array(np.repeat(np.arange(len(keys)), s.bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(owner), part.column(1).take(owner)], ["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(owner), part.column(1).take(owner)], ["key", "cls", "n"])
 
-    kind = reps.schema["id"].dataType.simpleString()
-    return reps.select("id", "n", "sig").mapInArrow(run, f"key long, id {kind}, n long")
+    return reps.select("cls", "n", "sig").mapInArrow(run, "key long, cls binary, n long")
 
 
-def open_pairs(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that the sequential test does not drop; sigs: id, sig."""
+def open_pairs(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that the sequential test does not drop; pairs are written, and a may hold many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,21 +172,29 @@ def open_pairs(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
                 alive = pa.array(surviving(unpack(part.column(2), s), unpack(part.column(3), s), s))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(alive), part.column(1).take(alive)], ["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
+    sig = lambda c: reps.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
+    both = keyed_join(pairs, sig("a"), "a").join(sig("b"), "b")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+
+
+def texts_of(classes: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """cls and the text that stands for it, written; classes: cls, distinct."""
+    wanted = reps.select("cls", "id", "version").join(classes, "cls", "left_semi")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_version"), F.col(text_col).alias("text"))
+    met = rows.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_version") == F.col("version")))
+    return written(met.select("cls", "text").dropDuplicates(["cls"]), "near-texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (written, distinct) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = None, None  # rows come sorted by a
+        known, own = None, None  # a hub's pairs mostly come one after the other
         for b in batches:
             keep = []
             for i, (x, ta, tb) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if known != (x, ta):
-                    known, own = (x, ta), shingles(ta, s.shingle)
+                if known != x:
+                    known, own = x, shingles(ta, s.shingle)
                 other = shingles(tb, s.shingle)
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 if common and 100 * common >= s.percent * (len(own) + len(other) - common):
@@ -191,11 +202,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows)], ["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "near-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    texts = texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), reps, docs, id_col, text_col)
+    text = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
+    both = keyed_join(written(pairs.join(text("b"), "b"), "near-pair-texts"), text("a"), "a", wide=True)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,36 +213,35 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("met"))
+        near = keyed_join(both, labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        met = written(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("met")), "met")
         beyond = labels.select(F.col("id").alias("met"), F.col("component").alias("beyond"))
-        step = written(met.join(beyond, "met").select("id", "old", F.least("met", "beyond").alias("component")), "labels")
+        step = written(keyed_join(met, beyond, "met").select("id", "old", F.least("met", "beyond").alias("component")), "labels")
         if step.where("component < old").isEmpty():
             return labels
         labels = step.drop("old")
 
 
-def block_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Links (confirmed on full sets) that join the components of large buckets' members, block against block; members: key, id, n, component, size.
+def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Links (confirmed on full sets) that join the components of large buckets' members, block against block; members: key, cls, n, component, size.
 
     A pair is looked at in the first band that it shares. A block leaves out pairs that links found in it have joined, so it
     returns fewer rows than it has members.
     """
     import pandas as pd
 
-    kind = members.schema["id"].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
-    own_rows = written(sigs.select("id", "sig").join(texts, "id"), "block-texts")
+    texts = texts_of(members.select("cls").distinct(), reps, docs, id_col, text_col)
+    own_rows = written(reps.select("cls", "sig").join(texts, "cls"), "block-texts")
     blocks = F.ceil(F.col("size") / s.block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "component").join(own_rows, "id")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "component").join(own_rows, "cls")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, key = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["key"].iat[0]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
         keys = band_keys(sig, s)
-        ids, n, block, texts = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
+        ids, n, block, texts = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
         root, sets, out = pd.factorize(pdf["component"])[0], {}, []  # root: of each row, the group that links found here have made
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
 
@@ -259,41 +268,57 @@ def block_links(members: DataFrame, sigs: DataFrame, docs: DataFrame, s: Setting
                         root[root == root[x]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
+    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: id, n_shingles, component_id (smallest id reachable by links), kept."""
+    """One row a row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (the row has that id; of a component without ids, every row), version (hash of the text) and first.
+
+    first: no row of the component comes before it, by id (nulls last), then by version; it holds for one row of each component, and its repetitions.
+    """
     s = settings or Settings()
     rows = written(sign(docs, s, id_col, text_col), "signed")
-    full = rows.where("n > 0")
-    classes = written(full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    reps = written(full.join(classes, ["d1", "d2", "id"]).dropDuplicates(["d1", "d2"]).select("id", "n", "sig"), "representatives")
+    name = lambda i, v: F.struct(i.isNull().alias("none"), i.alias("id"), v.alias("version"))
+    # equal sets have equal n and sig
+    full = rows.where("n > 0").groupBy("cls").agg(F.min(name(F.col("id"), F.col("version"))).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = written(full.select("cls", "least.id", "least.version", "least", "copies", "n", "sig"), "classes")
     bands = banded(reps, s)
-    shared = written(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = written(bands.join(shared, "key"), "members")
-    hubs = members.join(reps.select(F.col("id").alias("hub"), F.col("n").alias("m")), "hub")
+    shared = written(bands.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("m"), "size"), "buckets")
+    members = written(keyed_join(bands, shared, "key", counts=shared.select("key", F.col("size").alias("count"))), "members")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * s.percent
-    pairs = hubs.where((F.col("id") != F.col("hub")) & fits("n", "m")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(written(open_pairs(pairs, reps, s), "open-pairs"), docs, s, id_col, text_col), "links")
+    pairs = written(members.where((F.col("cls") != F.col("hub")) & fits("n", "m")).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    links = written(confirmed(written(open_pairs(pairs, reps, s), "open-pairs"), reps, docs, s, id_col, text_col), "links")
     labels = components(links)
     # members but the hub, in buckets where they lie in several components
-    rest = members.where("id != hub and size > 2").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    rest = members.where("cls != hub and size > 2").join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    rest = written(rest, "bucket-components")
     mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    rest = written(rest.join(written(mixed, "mixed"), "key"), "open-members")
+    rest = written(keyed_join(rest, written(mixed, "mixed"), "key"), "open-members")
     if not rest.isEmpty():
         small = rest.where(F.col("size") <= s.pairwise)
-        x, y = (small.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
+        x, y = (small.select("key", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
         few = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
-        some = written(confirmed(written(open_pairs(few, reps, s), "open-pairs"), docs, s, id_col, text_col), "links")
+        some = written(confirmed(written(open_pairs(written(few, "pairs"), reps, s), "open-pairs"), reps, docs, s, id_col, text_col), "links")
         late = written(some.union(block_links(rest.where(F.col("size") > s.pairwise), reps, docs, s, id_col, text_col)).distinct(), "links")
         if not late.isEmpty():
             labels = components(links.union(late))
-    linked = classes.join(labels, "id", "left").where("copies > 1 or component is not null").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    out = rows.select("id", "n", "d1", "d2").join(written(linked, "linked"), ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    # classes in a component of their own, without copies, need no name
+    linked = reps.select("cls", "least", "copies").join(labels.withColumnRenamed("id", "cls"), "cls", "left").where("copies > 1 or component is not null")
+    linked = written(linked.select("cls", "least", F.coalesce("component", "cls").alias("component")), "linked")
+    firsts = linked.groupBy("component").agg(F.min("least").alias("first"))
+    names = keyed_join(linked.select("cls", "component"), firsts, "component").select("cls", "first")
+    out = keyed_join(rows.select("id", "version", "n", "cls"), written(names, "class-names"), "cls", "left")
+    own = name(F.col("id"), F.col("version"))
+    first = F.when((F.col("n") > 0) & F.col("first").isNotNull(), F.col("first")).otherwise(own)
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        first["id"].alias("component_id"),
+        first["id"].eqNullSafe(F.col("id")).alias("kept"),
+        "version",
+        (first == own).alias("first"),
+    )
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), Settings(shingle=4))
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(shingle=4)).drop("version", "first")

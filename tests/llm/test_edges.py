@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessellar.llm import bpe_trie, langid, near, packing, quality, topk, warc
+from tessellar.llm import bpe_trie, common, langid, near, packing, quality, topk, warc
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta " * 20_000
 ROWS = [(1, LONG), (1, LONG), (1, "other words stand here now"), (2, None), (None, None), (None, "a b"), (3, ""), (4, " \n\t "), (5, "é" * 5000), (6, LONG)]
@@ -73,6 +73,24 @@ def test_near(docs):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_shared_ids(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(0, text), (1, text[:-8]), (1, "quite another text stands here now and then"), (None, text), (None, "alone among these rows it stands")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {(r["doc_id"], r["n_shingles"] > 10): (r["component_id"], r["kept"], r["first"]) for r in got}
+    assert by == {(0, True): (0, True, True), (1, True): (0, False, False), (1, False): (1, True, True), (None, True): (0, False, False), (None, False): (None, True, True)}
+
+
+def test_keyed_join(spark):
+    """Heavy keys, light ones, null ones and keys of one side only give what a plain join gives."""
+    left = spark.range(9000).select(F.when(F.col("id") < 4000, 7).when(F.col("id") < 8990, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, 20_000, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).union(spark.createDataFrame([(7, 14)], "k long, w long"))
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "k", how).collect()))
+        for wide in (False, True):
+            assert sorted(map(str, common.keyed_join(left, right, "k", how, wide).collect())) == want
+
+
 def test_warc(spark, tmp_path, docs):
     pages = docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumn("url", F.when(F.col("page_id") != 3, "http://a/b c"))
     for k, (frame, n) in enumerate(((pages, len(ROWS)), (pages.limit(0), 0))):

@@ -26,3 +26,17 @@ def test_repeated_rows_nulls_and_empty(spark):
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         stage(spark, docs, SF).collect()
+
+
+def test_shared_ids(spark):
+    """Rows that share an id go by their own texts; clashing columns and a very long text pass through."""
+    text = " ".join(f"word{i}" for i in range(400))
+    less = " ".join(f"word{i}" for i in range(1, 400))
+    long = "a line of very many words " * 40_000
+    rows = [(1, text), (2, text), (2, "a wholly different text with its own words"), (3, less), (4, long), (5, long), (None, text), (None, "quite another text")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "x", "y", "z", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, version string, _id string, first int")
+    got = P.near_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(0, "quite another text"), (1, text), (2, rows[2][1]), (4, long)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted(want)
+    assert P.pii_stage(spark, docs, SF).columns == docs.columns
