@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.llm import langid, near, packing, pii, quality
-from tessellar.llm.common import crc_mod, table, written
+from tessellar.llm.common import crc_mod, table, text_or_empty, written
 
 
 def filtered(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
@@ -46,19 +46,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (five words, similarity 0.8); of rows with one id and text, one.
+    """Keeps the first document (smallest id, nulls last) of each group of near-duplicates (five words, similarity 0.8); of rows with one id and text, one.
 
-    Rows that share an id but not a text, and rows without an id, stay unless they are near-duplicates of a smaller id.
+    Documents are told apart by id and text: rows that share an id but not a text go or stay by their own texts.
     """
-    groups = written(near.near_duplicates(docs, near.Settings()), "pipeline-groups")
-    gone = groups.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = written(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    groups = written(near.near_duplicates(docs, near.Settings()), "pipeline-groups").select(F.col("doc_id").alias("near_id"), F.col("version").alias("near_version"), "first")
+    gone = groups.where("not first").select("near_id", "near_version").distinct()
+    repeated = written(groups.groupBy("near_id", "near_version").count().where("count > 1").select("near_id", "near_version"), "pipeline-repeated")
+    own = F.xxhash64(text_or_empty("text"))
+
+    def same(others: DataFrame) -> F.Column:
+        return docs["doc_id"].eqNullSafe(others["near_id"]) & (own == others["near_version"])
+
+    left = docs.join(gone, same(gone), "left_anti")
     if repeated.isEmpty():
         return left
-    at = left["doc_id"].eqNullSafe(repeated["doc_id"])
-    once = left.join(repeated, at, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, at, "left_anti").unionByName(once)
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(once)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
