@@ -8,6 +8,9 @@ is among the block's own first |b| - c + 1 (prefix filter); a block of less than
 a first common word at place i of the template and j of the block leaves at most 1 + min(n - i, |b| - j) common ones (positional
 filter). What passes is verified on the whole sets. Equal blocks are joined once.
 
+Notices of related licences share most of their words. So a match gives its label only where the block holds all the words that
+the label demands and the template has ("lesser") and none that it bars ("affero", another version): NAMES has both by label.
+
 Base phrases stand as consecutive words; their places are counted one by one. A null text counts as empty: no words, no labels,
 score 0. The score is 1 where a phrase stands, else the largest containment of a matched template, else 0. Each row of the input
 gives a row; rows that share an id but not a text get their own results, equal rows equal ones; null ids are kept. Templates with
@@ -23,7 +26,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import keyed_join, table, text_or_empty, written
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -34,6 +37,9 @@ TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "You may not use this file except in compliance with the License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("lgpl", "Licensed under the GNU Lesser General Public License"),
     ("agpl", "Licensed under the GNU Affero General Public License"),
@@ -44,6 +50,19 @@ TEMPLATES = [
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Words that a block must hold for a label's templates that have them, and words that bar it: what tells a licence from its relatives.
+NAMES = {
+    "mit": (("mit", "released"), ()),
+    "apache": (("apache",), ()),
+    "gpl": (("gnu",), ("lesser", "affero")),
+    "gpl-3.0": (("gnu", "3"), ("lesser", "affero", "1", "2")),
+    "lgpl": (("lesser",), ("affero",)),
+    "agpl": (("affero",), ("lesser",)),
+    "apache-2.0": (("apache", "2"), ("1",)),
+    "mpl": (("mozilla",), ()),
+    "cc-by": (("cc", "creative"), ("nc", "noncommercial", "nd", "noderivatives", "sa", "sharealike")),
+    "cc-by-nc": (("nc",), ()),
+}
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_END = r"(?:\r\n|\n|\r(?!\n))(?:[ \t\x0B\f]*(?:\r\n|\n|\r(?!\n)))+|(?<=[.!?;])\s+"
 MOST_TEMPLATE_WORDS = 20_000
@@ -90,13 +109,17 @@ def frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> DataFr
     return docs.select(F.explode(F.array_intersect(F.split(low, SEPARATORS, -1), own)).alias("word")).groupBy("word").count().withColumnRenamed("count", "n")
 
 
-def containment_join(blocks: DataFrame, templates: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
-    """set, label, score of every match; blocks: set (an array of distinct words, ordered rarest first); templates: words ordered likewise."""
+def containment_join(blocks: DataFrame, templates: list[tuple[str, list[str]]], threshold: float, names: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] | None = None) -> DataFrame:
+    """set, label, score of every match; blocks: set (an array of distinct words, ordered rarest first); templates: words ordered likewise.
+
+    names: by label, words that a block must hold if the template has them, and words that bar it.
+    """
+    told = {l: (names or {}).get(l, ((), ())) for l, _ in templates}
     spark = blocks.sparkSession
     need = lambda n: -int(-threshold * n // 1)
     prefix = [(w, k, i + 1) for k, (_, ws) in enumerate(templates) for i, w in enumerate(ws[: len(ws) - need(len(ws)) + 1])]
     index = spark.createDataFrame(prefix, "word string, template int, i int")
-    whole = spark.createDataFrame([(k, l, ws, len(ws), need(len(ws))) for k, (l, ws) in enumerate(templates)], "template int, label string, words array<string>, n int, c int")
+    whole = spark.createDataFrame([(k, l, ws, len(ws), need(len(ws)), [w for w in told[l][0] if w in ws], list(told[l][1])) for k, (l, ws) in enumerate(templates)], "template int, label string, words array<string>, n int, c int, must array<string>, bars array<string>")
     index = index.join(whole, "template")
     least = min(need(len(ws)) for _, ws in templates)
     first = F.slice("set", F.lit(1), F.size("set") - least + 1)
@@ -105,14 +128,16 @@ def containment_join(blocks: DataFrame, templates: list[tuple[str, list[str]]],
     size = F.size("set")
     may = met.where((size >= F.col("c")) & (F.col("j") < size - F.col("c") + 1) & (1 + F.least(F.col("n") - F.col("i"), size - F.col("j") - 1) >= F.col("c")))
     common = F.size(F.array_intersect("set", "words"))
-    return may.where(common >= F.col("c")).groupBy("set", "label").agg(F.max(common / F.col("n")).alias("score"))
+    named = (F.size(F.array_except("must", "set")) == 0) & (F.size(F.array_intersect("bars", "set")) == 0)
+    return may.where((common >= F.col("c")) & named).groupBy("set", "label").agg(F.max(common / F.col("n")).alias("score"))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, phrases: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, phrases: dict[str, str] | None = None, names: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     sets = sorted({(l, tuple(sorted(set(words_of(t))))) for l, t in (TEMPLATES if templates is None else templates) if l is not None and t is not None and words_of(t)})
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    if sum(len(ws) for _, ws in sets) > MOST_TEMPLATE_WORDS:
+    names = NAMES if names is None else names
+    vocabulary = sorted({w for _, ws in sets for w in ws} | {w for pair in names.values() for ws in pair for w in ws})
+    if sum(len(ws) for _, ws in sets) > MOST_TEMPLATE_WORDS or len(vocabulary) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MOST_TEMPLATE_WORDS} words")
     least = min((-int(-threshold * len(ws) // 1) for _, ws in sets), default=1)
     rows = written(scan(docs, vocabulary, least, PHRASES if phrases is None else phrases, id_col, text_col), "licenses-scanned")
@@ -125,10 +150,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         blocks = rows.select("id", "version", F.explode("blocks").alias("block")).select("id", "version", F.array_intersect(ranked, "block").alias("set")).distinct()
         blocks = written(blocks, "licenses-blocks")
         place = {w: k for k, w in enumerate(order)}
-        matches = written(containment_join(blocks.select("set").distinct(), [(l, sorted(ws, key=place.__getitem__)) for l, ws in sets], threshold), "licenses-matches")
-        salts = 16  # a notice may stand in a third of all texts
-        own = blocks.withColumn("salt", F.pmod(F.xxhash64("id", "version"), F.lit(salts)).cast("int"))
-        pairs = own.join(matches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["set", "salt"])
+        matches = written(containment_join(blocks.select("set").distinct(), [(l, sorted(ws, key=place.__getitem__)) for l, ws in sets], threshold, names), "licenses-matches")
+        # a notice may stand in a third of all texts
+        labels = matches.groupBy("set").agg(F.collect_list(F.struct("label", "score")).alias("labels"))  # at most one for each label
+        pairs = keyed_join(blocks, written(labels, "licenses-labels"), "set").select("id", "version", F.inline("labels"))
         found = pairs.groupBy("id", "version", "label").agg(F.max("score").alias("score")).groupBy("id", "version").agg(F.collect_list(F.struct("label", "score")).alias("found"))
     found = found.withColumnsRenamed({"id": "id_", "version": "version_"})
     out = rows.drop("blocks").join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("version") == F.col("version_")), "left")
