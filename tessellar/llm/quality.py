@@ -5,10 +5,13 @@ so that the dictionaries count throughout a long text, and every block is compre
 sums of compressed sizes, divided by their sum, is put through a rising curve fitted to labelled texts that are in neither
 dictionary (isotonic regression). Short texts say little: their log odds are drawn towards those of the labels at large.
 
-The dictionaries and the curve are fitted on a bounded sample of labelled rows: per class `dictionary_texts` and
-`calibration_texts`, those with the smallest hashes of their ids. Every row is scored on its whole text. Null and empty texts
-get the share of good labels. Labels that are null are left out, and repeated labels count once. Without
-labels of both classes every score is the share of good labels (0.5 if there are none). Repeated rows give equal rows; an
+The dictionaries and the curve are fitted on a bounded sample of labelled rows: of each class the `texts` with the smallest hashes
+of their ids. A sampled text gives each dictionary of its class an equal share of bytes, in pieces from evenly spaced places of
+the whole text. The curve takes the whole sampled texts: they fall into `folds`, and each fold is measured with dictionaries
+made of the others, so that the few labels of a small table serve both ends. Pieces and differences are worked out where the
+texts are; the driver gets `dictionary_bytes` of pieces a class and a number a text, never texts. Every row is scored on its
+whole text. Null and empty texts get the share of good labels. Labels that are null are left out, and repeated labels count once.
+Without labels of both classes every score is the share of good labels (0.5 if there are none). Repeated rows give equal rows; an
 empty table gives an empty result; columns other than the id and the text are ignored.
 """
 
@@ -22,19 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    dictionary_texts: int = 1200
-    calibration_texts: int = 1200
+    texts: int = 2400  # of each class
+    folds: int = 4
     dictionary_bytes: int = 256 << 10
+    piece: int = 128  # bytes that a text gives at one place
     block: int = 128
     level: int = 5
     threshold: float = 0.7
     little: float = 60.0  # bytes at which a text counts half
-    seed_chars: int = 200_000  # of one sampled text; longer ones give evenly spaced blocks
 
 
 @dataclass
@@ -55,22 +58,19 @@ class Model:
         return 1 / (1 + np.exp(-(weight * odds + (1 - weight) * self.prior)))
 
 
-_compressors: dict[tuple[int, int], tuple] = {}
+_compressors: dict[tuple[bytes, int], object] = {}
 
 
-def compressors(model: Model) -> tuple:
+def compressor(dictionary: bytes, level: int) -> object:
     import zstandard as z
 
-    key = (hash(model.good), hash(model.bad))
-    if key not in _compressors:
-        _compressors.clear()
-        made = []
-        for d in (model.good, model.bad):
-            held = z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=model.settings.level)
-            made.append(z.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
-        _compressors[key] = tuple(made)
-    return _compressors[key]
+    if (dictionary, level) not in _compressors:
+        if len(_compressors) >= 16:
+            _compressors.clear()
+        held = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=level)
+        _compressors[dictionary, level] = z.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return _compressors[dictionary, level]
 
 
 def difference(text: str | None, model: Model) -> float:
@@ -78,7 +78,7 @@ def difference(text: str | None, model: Model) -> float:
     raw = (text or "").encode()
     if not raw:
         return 0.0
-    good, bad = compressors(model)
+    good, bad = (compressor(d, model.settings.level) for d in (model.good, model.bad))
     step = model.settings.block
     g = b = 0
     for at in range(0, len(raw), step):
@@ -88,15 +88,14 @@ def difference(text: str | None, model: Model) -> float:
     return (b - g) / (b + g)
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
-    """Raw dictionary of an equal share of each text, taken from evenly spaced places."""
-    share = max(64, size // max(1, len(texts)))
-    out = []
-    for k, t in enumerate(texts):
-        raw = t.encode()
-        at = (k * 7919) % max(1, len(raw) - share)
-        out.append(raw[at : at + share])
-    return b"\n".join(out)[-size:]
+def pieces(text: str, share: int, size: int) -> bytes:
+    """About `share` bytes of a text, in pieces of `size` from evenly spaced places between its start and its end; all of a shorter one."""
+    raw = text.encode()
+    if len(raw) <= share:
+        return raw
+    n = max(1, share // size)
+    each = share // n
+    return b"".join(raw[at : at + each] for at in ((len(raw) - each) * k // max(1, n - 1) if n > 1 else (len(raw) - each) // 2 for k in range(n)))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,41 +110,57 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return a[:, 2] / a[:, 1], a[:, 0] / a[:, 1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str) -> tuple[list[tuple[str, int]], float]:
-    """Up to 2 x (dictionary_texts + calibration_texts) labelled texts in hash order, and the share of good labels."""
-    n = settings.dictionary_texts + settings.calibration_texts
-    marked = labels.where(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
-    counts = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
-    if not counts:
-        return [], 0.5
-    order = F.xxhash64("_id")
-    chosen = None
-    for y in (0, 1):
-        part = marked.where(F.col("_y") == y).dropDuplicates(["_id"]).orderBy(order, "_id").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")  # chosen has 2n rows at most
-    rows = rows.where("_t is not null").dropDuplicates(["_id", "_y"]).select("_id", "_y", F.substring("_t", 1, settings.seed_chars).alias("_t"), order.alias("_h"))
-    got = sorted(((r["_h"], r["_id"], r["_y"], r["_t"]) for r in rows.collect()), key=lambda r: r[:3])
-    return [(t, y) for _, _, y, t in got], counts.get(1, 0) / sum(counts.values())
+def sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """The sampled rows with their texts (id, y, text, fold), written, and the number of labels of each class."""
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("y")).distinct()
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    order = F.xxhash64("id")
+    chosen = [marked.where(F.col("y") == y).orderBy(order, "id").limit(settings.texts) for y in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")  # 2 * texts rows at most
+    rows = rows.dropDuplicates(["id", "y"]).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(settings.folds)).cast("int"))
+    return written(rows.select("id", "y", "text", "fold"), "quality-sample"), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """labels: id_col and quality (0 or 1), of the rows that may be learned from."""
-    settings = settings or Settings()
-    rows, share = sample(docs, labels, settings, id_col, text_col)
-    by = {y: [t for t, v in rows if v == y] for y in (0, 1)}
+    s = settings or Settings()
+    rows, counts = sample(docs, labels, s, id_col, text_col)
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     prior = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     none = np.zeros(0)
-    if not by[0] or not by[1]:
-        return Model(b"", b"", none, none, prior, settings)
-    cut = {y: min(settings.dictionary_texts, (len(v) + 1) // 2) for y, v in by.items()}
-    found = Model(*(dictionary(by[y][: cut[y]], settings.dictionary_bytes) for y in (1, 0)), none, none, prior, settings)
-    held = [(difference(t, found), y) for y in (0, 1) for t in (by[y][cut[y] :] or by[y])]
+    each = {y: max(64, s.dictionary_bytes // max(1, min(s.texts, counts.get(y, 0)))) for y in (0, 1)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = b.column(1)
+            raw = [pieces(t, each[k], s.piece) for t, k in zip(b.column(2).to_pylist(), y.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([y, b.column(3), pa.array(raw, pa.binary())], ["y", "fold", "raw"])
+
+    got = rows.mapInArrow(cut, "y int, fold int, raw binary").collect()  # dictionary_bytes a class, or 64 bytes a text
+    got = sorted((r["y"], r["fold"], bytes(r["raw"])) for r in got)
+    if len({y for y, _, _ in got}) < 2:
+        return Model(b"", b"", none, none, prior, s)
+
+    def made(without: int) -> Model:
+        return Model(*(b"\n".join(raw for v, fold, raw in got if v == y and fold != without)[-s.dictionary_bytes :] for y in (1, 0)), none, none, prior, s)
+
+    models = [made(k) for k in range(s.folds)]
+    # a fold that holds all texts of a class leaves no dictionary of it
+    whole = made(-1)
+    models = [m if m.good and m.bad else whole for m in models]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = [difference(t, models[k]) for t, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(d, pa.float64())], ["y", "d"])
+
+    held = sorted((r["d"], r["y"]) for r in rows.mapInArrow(measured, "y int, d double").collect())  # a number a text
     x, y = np.array([h[0] for h in held]), np.array([h[1] for h in held], float)
-    weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # the sample's classes are balanced, the labels' are not
-    found.at, p = isotonic(x, y, weights)
-    found.odds = np.log(np.clip(p, 0.002, 0.998) / (1 - np.clip(p, 0.002, 0.998)))
-    return found
+    weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # the sample's classes are balanced, the labels' may not be
+    whole.at, p = isotonic(x, y, weights)
+    whole.odds = np.log(np.clip(p, 0.002, 0.998) / (1 - np.clip(p, 0.002, 0.998)))
+    return whole
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
