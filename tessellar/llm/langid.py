@@ -3,9 +3,9 @@
 A text's UTF-8 bytes are cut into windows of fixed length, the last one padded with zeros. Bytes have learned embeddings;
 filters of several widths slide over them, a rectifier and max pooling over the window follow, and a linear layer with
 softmax gives the languages. A text's log odds are the means over all its windows. Training is plain numpy (Adam) on the
-driver, on a bounded sample: about `texts_a_language` texts of each language, chosen by the hash of their ids, and
-of each an excerpt of `excerpt` characters at a place given by the hash. Prediction covers whole texts. There, embeddings and filters are folded
-into one table for each filter position, so a convolution is a sum of table rows.
+driver, on a bounded sample of windows: of each language about `texts` whole texts, chosen by the hash of their ids, are cut into
+windows, and about `windows` of these are chosen by the hash of id and place, wherever in a text they stand. Prediction covers
+whole texts. There, embeddings and filters are folded into one table for each filter position, so a convolution is a sum of table rows.
 
 Texts that are null or have no letter get `und` and score 0. Texts with a null language are not learned from. With no
 language to learn every text gets `und` and score 0. Repeated rows give equal rows; an empty table gives an empty result;
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, written
 
 LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class Settings:
-    texts_a_language: int = 400
-    excerpt: int = 1024
+    texts: int = 400  # of each language, about
+    windows: int = 3200  # of each language, about
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 12
@@ -159,28 +159,32 @@ def has_letter(text: str) -> bool:
 
 
 def fit(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """docs: the rows that may be learned from."""
+    """docs: the rows that may be learned from. The driver gets a row and a literal for each distinct language, and the windows."""
     s = settings or Settings()
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    counts = {r["_l"]: r["count"] for r in rows.groupBy("_l").count().collect()}  # a row a language
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Network([], s)
     spread = 1 << 30
-    wanted = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, min(spread, spread * s.texts_a_language // n))))
-    h = F.xxhash64("_id")
-    rows = rows.where(F.pmod(h, F.lit(spread)) < wanted[F.col("_l")]).dropDuplicates(["_id", "_l"])
-    place = F.pmod(h, F.greatest(F.lit(1), F.length("_t") - s.excerpt)).cast("int") + 1
-    got = sorted((r["_l"], r["_id"], r["_t"]) for r in rows.select("_id", "_l", F.col("_t").substr(place, F.lit(s.excerpt)).alias("_t")).collect())
-    languages = sorted({l for l, _, t in got if has_letter(t)})
-    net = Network(languages, s)
-    if languages:
-        x, y = [], []
-        for l, _, t in got:
-            if has_letter(t):
-                w = windows(t.encode(), s.window)
-                x.append(w)
-                y += [languages.index(l)] * len(w)
-        net.train(np.concatenate(x), np.array(y))
+    wanted = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, min(spread, spread * s.texts // n))))
+    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(spread)) < wanted[F.col("lang")]).dropDuplicates(["id", "lang"])
+    rows = written(rows.select("lang", F.xxhash64("id").alias("h"), "text"), "langid-sample")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / s.window)).alias("n")).collect()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for l, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if has_letter(t):
+                    w = windows(t.encode(), s.window)
+                    x = (np.arange(len(w), dtype=np.uint64) + np.uint64(h % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+                    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    w = w[(x >> np.uint64(32)).astype(float) < 2.0**32 * s.windows / sizes[l]]
+                    yield pa.RecordBatch.from_arrays([pa.array([l] * len(w), pa.string()), pa.array([r.tobytes() for r in w], pa.binary())], ["lang", "bytes"])
+
+    got = sorted((r["lang"], bytes(r["bytes"])) for r in rows.mapInArrow(cut, "lang string, bytes binary").collect())
+    net = Network(sorted({l for l, _ in got}), s)
+    if got:
+        net.train(np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(len(got), s.window), np.array([net.languages.index(l) for l, _ in got]))
     return net
 
 
