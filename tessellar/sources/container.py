@@ -1,82 +1,108 @@
-"""RIFF containers as tables of chunks, and what their headers tell about an image."""
+"""Image files as tables: files, chunks, headers, frames and metadata. None of them decodes pixels."""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellar.sources import riff
+from tessellar.status import OK, TOO_LARGE
+
+INFO = "status string, error string, width int, height int, has_alpha boolean, is_animation boolean, frame_count int, loop_count int, background_argb long, coding string, metadata int, truncated boolean, raw string, durations_ms array<int>, warnings array<string>"
+CHUNK = "seq int, tag string, offset long, size long, complete boolean, head binary"
+FRAME = "frame_no int, pos_x int, pos_y int, width int, height int, duration int, dispose boolean, no_blend boolean, has_alpha boolean, complete boolean, offset long, size long"
+PAYLOADS = "icc binary, exif binary, xmp binary"
+
 
 def read_images(spark: SparkSession, path: str, max_bytes: int = 1280 << 20) -> DataFrame:
-    """path, length and content of files up to max_bytes; the length is filtered before contents are read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes).select("path", "length", "content")
-
-
-def chunks_of(data: bytes | None) -> list[tuple[str, int, int, bool]]:
-    """tag, offset of the payload, size and whether it is whole, of every chunk; none for what is no RIFF WEBP file."""
-    if data is None or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
-        return []
-    end, at, out = struct.unpack_from("<I", data, 4)[0] + 8, 12, []
-    while at + 8 <= min(end, len(data)):
-        size = struct.unpack_from("<I", data, at + 4)[0]
-        if size == 0xFFFFFFFF:
-            break
-        whole = at + 8 + size + (size & 1) <= min(end, len(data))
-        out.append((data[at : at + 4].decode("latin-1"), at + 8, size, whole))
-        if not whole:
-            break
-        at += 8 + size + (size & 1)
-    return out
+    """path, length, content and status of files. One longer than max_bytes is not read: it has no content and the status too_large."""
+    files = spark.read.format("binaryFile").load(path)
+    read = files.where(F.col("length") <= max_bytes).select("path", "length", "content", F.lit(OK).alias("status"))
+    rest = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(TOO_LARGE).alias("status"))
+    return read.unionByName(rest)
+
+
+def read_local(spark: SparkSession, stream, name: str = "-", max_bytes: int = 1280 << 20) -> DataFrame:
+    """One file from an open stream of the driver, such as standard input."""
+    data = stream.read(max_bytes + 1)
+    row = (name, len(data), None, TOO_LARGE) if len(data) > max_bytes else (name, len(data), bytes(data), OK)
+    return spark.createDataFrame([row], "path string, length long, content binary, status string")
+
+
+def per_file(files: DataFrame, id_col: str, shape: str, rows_of) -> DataFrame:
+    """id_col and the rows that rows_of gives of each file's content."""
+    kind = files.schema[id_col].dataType.simpleString()
+    probe = files.sparkSession.createDataFrame([], shape).schema
+    names = [f.name for f in probe]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(probe)
+        for b in batches:
+            for k in range(b.num_rows):  # a file at a time, as contents may be large
+                rows = rows_of(b.column(1)[k].as_py())
+                ids = pa.array([0] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1).take(ids), *(pa.array([r[j] for r in rows], t.type) for j, t in enumerate(types))], [id_col, *names])
+
+    return files.select(id_col, "content").mapInArrow(run, f"`{id_col}` {kind}, {shape}")
 
 
 def riff_chunks(files: DataFrame, id_col: str = "path") -> DataFrame:
     """One row a chunk: id_col, seq, tag, offset, size, complete, and head, the first 32 bytes of its payload."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, n, t, o, s, w, bytes(c[o : o + min(s, 32)])) for k, c in zip(f[id_col], f["content"], strict=True) for n, (t, o, s, w) in enumerate(chunks_of(c))]
-            yield pd.DataFrame(rows, columns=[id_col, "seq", "tag", "offset", "size", "complete", "head"])
+    def rows_of(data: bytes | None) -> list[tuple]:
+        return [(n, c.tag, c.offset, c.size, c.complete, data[c.offset : c.offset + min(c.size, 32)]) for n, c in enumerate(riff.scan(data).chunks)]
 
-    kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, "content").mapInPandas(run, f"`{id_col}` {kind}, seq int, tag string, offset long, size long, complete boolean, head binary")
-
-
-def little(head: str, at: int, n: int) -> F.Column:
-    """n bytes of a binary column from `at` as a little-endian number; null past its end."""
-    byte = lambda k: F.conv(F.hex(F.substring(head, at + k + 1, 1)), 16, 10).cast("long") * (1 << (8 * k))
-    total = byte(0)
-    for k in range(1, n):
-        total = total + byte(k)
-    return F.when(F.length(head) >= at + n, total)
-
-
-def image_info(chunks: DataFrame, id_col: str = "path") -> DataFrame:
-    """id_col, width, height, has_alpha, is_animation, frame_count, loop_count, background_argb, coding, metadata; pixels are never decoded."""
-    lossless = little("head", 1, 4)
-    first = lambda tag, c: F.min_by(F.when(F.col("tag") == tag, c), F.when((F.col("tag") == tag) & c.isNotNull(), F.col("seq")))
-    flags = little("head", 0, 1)
-    seen = lambda tag: F.coalesce(F.bool_or(F.col("tag") == tag), F.lit(False))
-    d = chunks.groupBy(id_col).agg(
-        first("VP8X", flags).alias("flags"), first("VP8X", little("head", 4, 3) + 1).alias("xw"), first("VP8X", little("head", 7, 3) + 1).alias("xh"),
-        first("VP8L", lossless).alias("bits"), first("VP8 ", little("head", 6, 2).bitwiseAND(0x3FFF)).alias("yw"), first("VP8 ", little("head", 8, 2).bitwiseAND(0x3FFF)).alias("yh"),
-        seen("ALPH").alias("alph"), F.sum(F.when((F.col("tag") == "ANMF") & F.col("complete"), 1).otherwise(0)).alias("frames"),
-        first("ANIM", little("head", 4, 2)).alias("loops"), first("ANIM", little("head", 0, 4)).alias("background_argb"),
-        seen("VP8L").alias("l"), seen("VP8 ").alias("y"), seen("ICCP").alias("icc"), seen("EXIF").alias("exif"), seen("XMP ").alias("xmp"),
-    )
-    moving = F.coalesce(F.col("flags").bitwiseAND(2) != 0, F.lit(False))
-    alpha = F.coalesce(F.col("flags").bitwiseAND(16) != 0, F.lit(False)) | (F.col("alph") & F.col("flags").isNull()) | F.coalesce(F.shiftright("bits", 28).bitwiseAND(1) == 1, F.lit(False))
-    return d.select(
-        id_col,
-        F.coalesce("xw", F.col("bits").bitwiseAND(0x3FFF) + 1, "yw").cast("int").alias("width"),
-        F.coalesce("xh", F.shiftright("bits", 14).bitwiseAND(0x3FFF) + 1, "yh").cast("int").alias("height"),
-        alpha.alias("has_alpha"),
-        moving.alias("is_animation"),
-        F.when(moving, F.col("frames")).otherwise((F.col("l") | F.col("y")).cast("int")).cast("int").alias("frame_count"),
-        F.coalesce("loops", F.lit(0)).cast("int").alias("loop_count"),
-        F.coalesce("background_argb", F.lit(0)).alias("background_argb"),
-        F.when(F.col("l"), "lossless").when(F.col("y"), "lossy").alias("coding"),
-        (F.col("icc").cast("int") + F.col("exif").cast("int") * 2 + F.col("xmp").cast("int") * 4).alias("metadata"),
-    )
+    return per_file(files, id_col, CHUNK, rows_of)
+
+
+def image_info(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """One row a file: id_col, status and error of the first broken rule, and what the headers tell before it."""
+
+    def rows_of(data: bytes | None) -> list[tuple]:
+        i = riff.scan(data)
+        durations = [f.duration for f in i.frames if f.complete]
+        return [(i.status, i.error, i.width, i.height, i.has_alpha, i.is_animation, i.frame_count, i.loop_count, i.background_argb, i.coding, i.metadata, i.truncated, i.raw, durations, i.warnings)]
+
+    return per_file(files, id_col, INFO, rows_of)
+
+
+def frame_table(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """One row a frame of an animation (the last one may not be complete); a still is one frame of the canvas's size."""
+
+    def rows_of(data: bytes | None) -> list[tuple]:
+        i = riff.scan(data)
+        if i.is_animation:
+            return [(n, f.pos_x, f.pos_y, f.width, f.height, f.duration, f.dispose, f.no_blend, f.has_alpha, f.complete, f.offset, f.size) for n, f in enumerate(i.frames)]
+        if i.status != OK or not i.image:
+            return []
+        return [(0, 0, 0, i.width, i.height, 0, False, False, i.has_alpha, not i.truncated, i.image[1], i.image[2])]
+
+    return per_file(files, id_col, FRAME, rows_of)
+
+
+def metadata(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """id_col and the payloads of the first ICC profile, Exif and XMP chunks that are not empty, as they are."""
+
+    def rows_of(data: bytes | None) -> list[tuple]:
+        found = riff.scan(data).payloads
+        return [tuple(data[found[t][0] : sum(found[t])] if t in found else None for t in riff.METADATA)]
+
+    return per_file(files, id_col, PAYLOADS, rows_of)
+
+
+def info_json() -> F.Column:
+    """One JSON object for each row of image_info."""
+    flag = lambda bit: F.col("metadata").bitwiseAND(bit) != 0
+    own = ["width", "height", "coding", "is_animation", "frame_count", "loop_count", "has_alpha"]
+    return F.to_json(F.struct(*own, flag(1).alias("has_icc"), flag(2).alias("has_exif"), flag(4).alias("has_xmp"), "durations_ms"))
+
+
+def info_text() -> F.Column:
+    """One line for each row of image_info."""
+    kinds = F.concat_ws(", ", F.when(F.col("has_alpha"), "alpha"), F.when(F.col("is_animation"), F.format_string("%d frames, %d loops", "frame_count", "loop_count")))
+    return F.concat(F.format_string("%dx%d %s", "width", "height", "coding"), F.when(kinds != "", F.concat(F.lit(", "), kinds)).otherwise(""))
