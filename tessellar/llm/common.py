@@ -40,32 +40,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", wide: bool = False, counts: DataFrame | None = None) -> DataFrame:
-    """left (cheap to read twice, or with its counts: key and count, of all keys that right has) joined with right (one row a key) where a key may hold much of left.
-
-    A key is heavy if it holds more rows than max(1000, rows / 50,000), so fewer than 50,000 keys are. Right's rows of heavy keys are
-    broadcast; where they are wide (texts), the rows of a heavy key are dealt over as many parts as it has such shares of rows, by
-    the hash of the whole row, and right's row goes to each part.
-    """
-    if counts is None:
-        share = max(1000, left.count() // 50_000)
-        counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-    else:
-        share = max(1000, (counts.agg(F.sum("count")).first()[0] or 0) // 50_000)
-    heavy = counts.where(F.col("count") > share)
-    heavy = written(heavy.select(F.col(key), F.ceil(F.col("count") / share).cast("int").alias("_parts")), "heavy")
-    if heavy.isEmpty():
-        return left.join(right, key, how)
-    if wide:
-        part = F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int")
-        dealt = left.join(F.broadcast(heavy), key, "left").withColumn("_part", part).drop("_parts")
-        spread = right.join(F.broadcast(heavy), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        return dealt.join(spread, [key, "_part"], how).drop("_part")
-    keys = F.broadcast(heavy.select(key))
-    few = F.broadcast(right.join(keys, key, "left_semi"))
-    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(keys, key, "left_semi").join(few, key, how))
-
-
 def text_or_empty(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -26,7 +26,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_join, table, text_or_empty, written
+from .common import table, text_or_empty, written
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -151,9 +151,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         blocks = written(blocks, "licenses-blocks")
         place = {w: k for k, w in enumerate(order)}
         matches = written(containment_join(blocks.select("set").distinct(), [(l, sorted(ws, key=place.__getitem__)) for l, ws in sets], threshold, names), "licenses-matches")
-        # a notice may stand in a third of all texts
+        # a notice may stand in a third of all texts; adaptive execution splits this join
         labels = matches.groupBy("set").agg(F.collect_list(F.struct("label", "score")).alias("labels"))  # at most one for each label
-        pairs = keyed_join(blocks, written(labels, "licenses-labels"), "set").select("id", "version", F.inline("labels"))
+        pairs = blocks.join(written(labels, "licenses-labels"), "set").select("id", "version", F.inline("labels"))
         found = pairs.groupBy("id", "version", "label").agg(F.max("score").alias("score")).groupBy("id", "version").agg(F.collect_list(F.struct("label", "score")).alias("found"))
     found = found.withColumnsRenamed({"id": "id_", "version": "version_"})
     out = rows.drop("blocks").join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("version") == F.col("version_")), "left")

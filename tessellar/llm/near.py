@@ -9,8 +9,10 @@ prior) falls below `miss`; survivors are confirmed on the full shingle sets. A p
 with probability (1 - threshold^rows)^bands, 3e-6 at the default; pairs of equal sets are never missed.
 
 Links are joined to components by minimum labels with pointer jumping, on written tables; nothing but counts goes to the
-driver. Classes, pairs and labels are keyed by the digest, never by the id: rows that share an id but not a text are linked by
-their own texts. Joins on a hub, a label or a class go through keyed_join, as one of them may hold much of the table.
+driver. Classes get numbers (as their table is written, by its partitions) that pairs and labels carry; they are never keyed by the
+rows' ids, so rows that share an id but not a text are linked by their own texts. A hub, a label or a class may hold much of the
+table; no grouping follows a join on one of them in the same stage, so adaptive execution splits such joins. The texts of classes
+that share a band are fetched once.
 
 Texts that are null or without words have an empty set and are linked with nothing, not even each other. Each row of
 the input gives a row; repeated rows fall into one class. A component's id is its smallest id that is not null, null if there
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_join, table, text_or_empty, written
+from .common import table, text_or_empty, written
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,7 +151,7 @@ def unpack(column: pa.Array, s: Settings) -> np.ndarray:
 
 
 def banded(reps: DataFrame, s: Settings) -> DataFrame:
-    """A row for each class and band: key, cls, n."""
+    """A row for each class and band: key, k, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,13 +159,18 @@ def banded(reps: DataFrame, s: Settings) -> DataFrame:
                 part = b.slice(at, 2000)
                 keys = band_keys(unpack(part.column(2), s), s)
                 owner = pa.array(np.repeat(np.arange(len(keys)), s.bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(owner), part.column(1).take(owner)], ["key", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(owner), part.column(1).take(owner)], ["key", "k", "n"])
 
-    return reps.select("cls", "n", "sig").mapInArrow(run, "key long, cls binary, n long")
+    return reps.select("k", "n", "sig").mapInArrow(run, "key long, k long, n long")
+
+
+def fits(x: str, y: str, s: Settings) -> F.Column:
+    """Whether sets of these sizes may be similar enough."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * s.percent
 
 
 def open_pairs(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that the sequential test does not drop; pairs are written, and a may hold many."""
+    """The pairs (a, b) that neither their sizes nor the sequential test drop; a may hold many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,21 +179,21 @@ def open_pairs(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
                 alive = pa.array(surviving(unpack(part.column(2), s), unpack(part.column(3), s), s))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(alive), part.column(1).take(alive)], ["a", "b"])
 
-    sig = lambda c: reps.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
-    both = keyed_join(pairs, sig("a"), "a").join(sig("b"), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    own = lambda c: reps.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    both = pairs.join(own("b"), "b").join(own("a"), "a").where(fits("n_a", "n_b", s))
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def texts_of(classes: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cls and the text that stands for it, written; classes: cls, distinct."""
-    wanted = reps.select("cls", "id", "version").join(classes, "cls", "left_semi")
+    """k and the text that stands for it, written; classes: k, distinct."""
+    wanted = reps.select("k", "id", "version").join(classes, "k", "left_semi")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_version"), F.col(text_col).alias("text"))
     met = rows.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_version") == F.col("version")))
-    return written(met.select("cls", "text").dropDuplicates(["cls"]), "near-texts")
+    return written(met.select("k", "text"), "near-texts")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (written, distinct) whose full sets reach the threshold."""
+def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (distinct) whose full sets reach the threshold; a text may come twice, where rows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = None, None  # a hub's pairs mostly come one after the other
@@ -202,10 +209,9 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings, i
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows)], ["a", "b"])
 
-    texts = texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), reps, docs, id_col, text_col)
-    text = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
-    both = keyed_join(written(pairs.join(text("b"), "b"), "near-pair-texts"), text("a"), "a", wide=True)
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    text = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(text("b"), "b").join(text("a"), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,35 +219,36 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
-        near = keyed_join(both, labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        met = written(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("met")), "met")
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        met = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("met"))
         beyond = labels.select(F.col("id").alias("met"), F.col("component").alias("beyond"))
-        step = written(keyed_join(met, beyond, "met").select("id", "old", F.least("met", "beyond").alias("component")), "labels")
+        step = written(met.join(beyond, "met").select("id", "old", F.least("met", "beyond").alias("component")), "labels")
         if step.where("component < old").isEmpty():
             return labels
         labels = step.drop("old")
 
 
-def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Links (confirmed on full sets) that join the components of large buckets' members, block against block; members: key, cls, n, component, size.
+def block_links(members: DataFrame, reps: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (confirmed on full sets) that join the components of large buckets' members, block against block; members: key, k, n, component, size.
 
     A pair is looked at in the first band that it shares. A block leaves out pairs that links found in it have joined, so it
     returns fewer rows than it has members.
     """
     import pandas as pd
 
-    texts = texts_of(members.select("cls").distinct(), reps, docs, id_col, text_col)
-    own_rows = written(reps.select("cls", "sig").join(texts, "cls"), "block-texts")
+    wanted = members.select("k").distinct()
+    own_rows = reps.select("k", "sig").join(wanted, "k", "left_semi").join(texts.dropDuplicates(["k"]), "k")
+    own_rows = written(own_rows, "block-texts")
     blocks = F.ceil(F.col("size") / s.block).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "component").join(own_rows, "cls")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "n", "component").join(own_rows, "k")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, key = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["key"].iat[0]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
         keys = band_keys(sig, s)
-        ids, n, block, texts = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
+        ids, n, block, texts = pdf["k"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
         root, sets, out = pd.factorize(pdf["component"])[0], {}, []  # root: of each row, the group that links found here have made
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
 
@@ -268,7 +275,7 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, s: Setting
                         root[root == root[x]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a binary, b binary")
+    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,33 +288,32 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     name = lambda i, v: F.struct(i.isNull().alias("none"), i.alias("id"), v.alias("version"))
     # equal sets have equal n and sig
     full = rows.where("n > 0").groupBy("cls").agg(F.min(name(F.col("id"), F.col("version"))).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = written(full.select("cls", "least.id", "least.version", "least", "copies", "n", "sig"), "classes")
+    reps = written(full.select(F.monotonically_increasing_id().alias("k"), "cls", "least.id", "least.version", "least", "copies", "n", "sig"), "classes")
     bands = banded(reps, s)
-    shared = written(bands.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("m"), "size"), "buckets")
-    members = written(keyed_join(bands, shared, "key", counts=shared.select("key", F.col("size").alias("count"))), "members")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * s.percent
-    pairs = written(members.where((F.col("cls") != F.col("hub")) & fits("n", "m")).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    links = written(confirmed(written(open_pairs(pairs, reps, s), "open-pairs"), reps, docs, s, id_col, text_col), "links")
+    shared = written(bands.groupBy("key").agg(F.min("k").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = written(bands.join(shared, "key"), "members")
+    texts = texts_of(members.select("k").distinct(), reps, docs, id_col, text_col)
+    pairs = members.where("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
+    links = written(confirmed(open_pairs(pairs, reps, s), texts, s).distinct(), "links")
     labels = components(links)
     # members but the hub, in buckets where they lie in several components
-    rest = members.where("cls != hub and size > 2").join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    rest = written(rest, "bucket-components")
+    rest = members.where("k != hub and size > 2").join(labels.withColumnRenamed("id", "k"), "k", "left").select("key", "k", "n", F.coalesce("component", "k").alias("component"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    rest = written(keyed_join(rest, written(mixed, "mixed"), "key"), "open-members")
+    rest = written(rest.join(written(mixed, "mixed"), "key"), "open-members")
     if not rest.isEmpty():
         small = rest.where(F.col("size") <= s.pairwise)
-        x, y = (small.select("key", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
-        few = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
-        some = written(confirmed(written(open_pairs(written(few, "pairs"), reps, s), "open-pairs"), reps, docs, s, id_col, text_col), "links")
-        late = written(some.union(block_links(rest.where(F.col("size") > s.pairwise), reps, docs, s, id_col, text_col)).distinct(), "links")
+        x, y = (small.select("key", F.col("k").alias(c), F.col("n").alias(f"s_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
+        few = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("s_a", "s_b", s)).select("a", "b").distinct()
+        some = confirmed(open_pairs(few, reps, s), texts, s)
+        late = written(some.union(block_links(rest.where(F.col("size") > s.pairwise), reps, texts, s)).distinct(), "links")
         if not late.isEmpty():
             labels = components(links.union(late))
     # classes in a component of their own, without copies, need no name
-    linked = reps.select("cls", "least", "copies").join(labels.withColumnRenamed("id", "cls"), "cls", "left").where("copies > 1 or component is not null")
-    linked = written(linked.select("cls", "least", F.coalesce("component", "cls").alias("component")), "linked")
+    linked = reps.select("k", "cls", "least", "copies").join(labels.withColumnRenamed("id", "k"), "k", "left").where("copies > 1 or component is not null")
+    linked = written(linked.select("cls", "least", F.coalesce("component", "k").alias("component")), "linked")
     firsts = linked.groupBy("component").agg(F.min("least").alias("first"))
-    names = keyed_join(linked.select("cls", "component"), firsts, "component").select("cls", "first")
-    out = keyed_join(rows.select("id", "version", "n", "cls"), written(names, "class-names"), "cls", "left")
+    names = written(linked.select("cls", "component").join(firsts, "component").select("cls", "first"), "class-names")
+    out = rows.select("id", "version", "n", "cls").join(names, "cls", "left")
     own = name(F.col("id"), F.col("version"))
     first = F.when((F.col("n") > 0) & F.col("first").isNotNull(), F.col("first")).otherwise(own)
     return out.select(

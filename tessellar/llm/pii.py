@@ -11,7 +11,8 @@ round induce patterns in the next. An occurrence becomes a span where both its s
 confidence reach the threshold and no base span overlaps it. Base spans always stay.
 
 Texts are read once, whole; positions are code points, end exclusive. Everything after that runs on a written table without
-texts. A pattern or a string may hold much of the graph: joins go through keyed_join, and sums are pre-aggregated. Positions are
+texts. A pattern or a string may hold much of the graph: no grouping follows a join on one in the same stage, so adaptive
+execution splits such joins; sums are pre-aggregated. Positions are
 running sums in two levels, so n matches take time with n to the power of 1.5 at most, in redact too.
 A null text counts as empty and gives no spans. Each row of the input gives a row: rows that share an id but not a text get
 their own spans, equal rows equal ones; null ids are kept. An empty table gives an empty result. Columns other than the id and
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_join, table, text_or_empty, written
+from .common import table, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive repeats (no deep recursion) and looks behind (no repeated scans of a long run) do not change what is matched.
@@ -213,14 +214,14 @@ def score_graph(edges: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame] |
         patterns = written(confident.where(F.greatest(*(F.col(f"c_{k}") for k in KINDS)) >= s.threshold), "pii-patterns")
         if patterns.isEmpty():
             return out
-        met = keyed_join(edges.where("seed < 0"), patterns, "pattern")
+        met = edges.where("seed < 0").join(patterns, "pattern")
         odds = met.groupBy("string").agg(*((1 - F.exp(F.sum(F.log1p(-F.when(F.col(f"fits_{k}"), F.col(f"c_{k}")).otherwise(0.0))))).alias(f"s_{k}") for k in KINDS))
         strings = written(odds.where(F.greatest(*(F.col(f"s_{k}") for k in KINDS)) >= s.threshold), "pii-strings")
         if strings.isEmpty():
             return out
         out = patterns, strings
         later = strings.withColumnsRenamed({f"s_{k}": f"t_{k}" for k in KINDS})
-        now = keyed_join(edges, later, "string", "left").select("pattern", "seed", *(f"fits_{k}" for k in KINDS), *(F.when(F.col("seed") >= 0, first_k).otherwise(F.coalesce(f"t_{k}", F.lit(0.0))).alias(f"s_{k}") for k, first_k in zip(KINDS, first, strict=True)))
+        now = edges.join(later, "string", "left").select("pattern", "seed", *(f"fits_{k}" for k in KINDS), *(F.when(F.col("seed") >= 0, first_k).otherwise(F.coalesce(f"t_{k}", F.lit(0.0))).alias(f"s_{k}") for k, first_k in zip(KINDS, first, strict=True)))
     return out
 
 
@@ -235,7 +236,7 @@ def find(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
     if scored is None:
         return rows.select(F.col("id").alias(id_col), "version", "base", F.col("base").alias("spans"))
     patterns, strings = scored
-    hits = keyed_join(written(keyed_join(flat.where("seed < 0"), patterns, "pattern"), "pii-hits"), strings, "string")
+    hits = flat.where("seed < 0").join(patterns, "pattern").join(strings, "string")
     both = [F.when(F.col(f"fits_{k}") & (F.col(f"c_{k}") >= s.threshold) & (F.col(f"s_{k}") >= s.threshold), F.struct(F.col(f"s_{k}").alias("score"), F.lit(-n).alias("order"))) for n, k in enumerate(KINDS)]
     best = F.array_max(F.array(*both))
     added = hits.select("id", "version", "start", "end", best.alias("best")).where("best is not null")
