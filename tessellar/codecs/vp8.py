@@ -136,7 +136,9 @@ def held(v: int, top: int) -> int:
 class Header:
     """Everything before the blocks: size, segments, filters, partitions, quantisers, probabilities."""
 
-    def __init__(self, data: bytes, tables: Tables):
+    def __init__(self, data: bytes, tables: Tables, total: int | None = None):
+        """total: the size of the whole frame, of which data may be the first part."""
+        total = len(data) if total is None else total
         if len(data) < 10:
             raise invalid("a short frame")
         tag = int.from_bytes(data[:3], "little")
@@ -147,7 +149,7 @@ class Header:
             raise invalid("unknown profile")
         if not tag >> 4 & 1:
             raise CodecError(UNSUPPORTED, "a frame that is not shown")
-        if size > len(data) - 10:
+        if size > total - 10 or size > len(data) - 10:
             raise invalid("a header past the end of the data")
         if data[3:6] != b"\x9d\x01\x2a":
             raise invalid("start code")
@@ -197,7 +199,7 @@ class Header:
         self.parts = []
         for k in range(parts - 1):
             n = int.from_bytes(data[at + 3 * k : at + 3 * k + 3], "little")
-            if n > len(data) - start:
+            if n > total - start:
                 raise invalid("a partition past the end of the data")
             self.parts.append(Coder(data[start : start + n]))
             start += n
@@ -512,11 +514,11 @@ class Planes:
     warnings: list[str]
 
 
-def decode(data: bytes, tables: Tables | None, bypass_filter: bool = False) -> Planes:
-    """Planes of uint8; U and V have half the size, rounded up."""
+def decode_blocks(data: bytes, tables: Tables | None, bypass_filter: bool, total: int | None = None) -> tuple[Planes, int]:
+    """Planes, and how many rows of samples are final; with `total`, data may be the first part of a frame of that size."""
     if tables is None:
         raise CodecError(UNSUPPORTED, "no tables of probabilities given")
-    h = Header(data, tables)
+    h = Header(data, tables, total)
     across, down = -(-h.width // 16), -(-h.height // 16)
     planes = []
     for size in (16, 8, 8):  # a row of 127 above, a column of 129 on the left; the corner belongs to the row
@@ -524,23 +526,41 @@ def decode(data: bytes, tables: Tables | None, bypass_filter: bool = False) -> P
         p[1:, 0] = 129
         planes.append(p)
     modes_above, coded_above = [[B_DC] * 4 for _ in range(across)], [[0] * 9 for _ in range(across)]
-    filters = []
+    filters, done = [], 0
     for by in range(down):
         modes_left, coded_left = [B_DC] * 4, [0] * 9
         part = h.parts[by % len(h.parts)]
+        own = []
         for bx in range(across):
             b = read_modes(h, tables, modes_above[bx], modes_left)
             read_residuals(h, part, b, coded_above[bx], coded_left)
+            if h.coder.over or part.over:
+                break
             reconstruct(planes, b, by, bx, bx == across - 1)
-            level, interior = h.filters[b.segment][b.mode == FOURS]
-            filters.append((level, interior, b.mode == FOURS or not b.skip))
+            own.append((*h.filters[b.segment][b.mode == FOURS], b.mode == FOURS or not b.skip))
         if h.coder.over or part.over:
-            raise invalid("blocks past the end of the data")
+            if total is None:
+                raise invalid("blocks past the end of the data")
+            break
+        filters += own
+        done += 1
     planes = [p[1:, 1:-4] for p in planes]
-    if not bypass_filter:
+    some = not bypass_filter and any(level for both in h.filters for level, _ in both)
+    if some:
         for k, (level, interior, inner) in enumerate(filters):
             if level:
                 filter_block(planes, level, interior, inner, h.simple, *divmod(k, across))
+    final = h.height if done == down else max(0, 16 * done - (0 if not some else 2 if h.simple else 8))
     half_w, half_h = h.width + 1 >> 1, h.height + 1 >> 1
     y, u, v = (p.astype(np.uint8) for p in planes)
-    return Planes(y[: h.height, : h.width].copy(), u[:half_h, :half_w].copy(), v[:half_h, :half_w].copy(), h.warnings)
+    return Planes(y[: h.height, : h.width].copy(), u[:half_h, :half_w].copy(), v[:half_h, :half_w].copy(), h.warnings), final
+
+
+def decode(data: bytes, tables: Tables | None, bypass_filter: bool = False) -> Planes:
+    """Planes of uint8; U and V have half the size, rounded up."""
+    return decode_blocks(data, tables, bypass_filter)[0]
+
+
+def decode_rows(data: bytes, total: int, tables: Tables | None) -> tuple[Planes, int]:
+    """Of the first part of a frame of `total` bytes, planes as far as they go and the number of final rows (what a filter may still change is not)."""
+    return decode_blocks(data, tables, False, total)

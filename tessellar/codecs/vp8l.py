@@ -173,7 +173,8 @@ def prefix_value(b: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + b.read(extra) + 1
 
 
-def read_pixels(b: Bits, head: Image) -> list[int]:
+def read_pixels(b: Bits, head: Image, partial: bool = False) -> list[int]:
+    """partial: where the data end early, the pixels that were read before that."""
     width, total = head.width, head.width * head.height
     out: list[int] = []
     cache_bits = head.cache_bits
@@ -182,7 +183,7 @@ def read_pixels(b: Bits, head: Image) -> list[int]:
     mask = (1 << head.tile_bits) - 1 if head.tiles else -1
     across = ceil_shift(width, head.tile_bits)
     green, red, blue, alpha, far = head.groups[0] or [None] * 5
-    x = y = n = 0
+    x = y = n = good = 0
     fresh = True
     while n < total:
         if fresh or (mask > 0 and not x & mask):
@@ -237,6 +238,9 @@ def read_pixels(b: Bits, head: Image) -> list[int]:
             x %= width
             if b.over:
                 break
+            good = n
+    if b.over and partial:
+        return out[: good // width * width]
     if b.over:
         raise invalid("pixels past the end of the data")
     return out
@@ -329,7 +333,7 @@ def unpredict(pixels: list[int], width: int, height: int, bits: int, tiles: list
 
 def spread(tiles: list[int], width: int, height: int, bits: int) -> np.ndarray:
     """A tile image at the size of the pixels."""
-    t = np.array(tiles, np.int64).reshape(ceil_shift(height, bits), -1)
+    t = np.array(tiles, np.int64).reshape(-1, ceil_shift(width, bits))
     return t[np.arange(height)[:, None] >> bits, np.arange(width)[None] >> bits]
 
 
@@ -386,9 +390,14 @@ def read_transforms(b: Bits, width: int, height: int) -> tuple[list[tuple], int]
     return out, now
 
 
-def decode_body(b: Bits, width: int, height: int) -> np.ndarray:
+def decode_body(b: Bits, width: int, height: int, partial: bool = False) -> np.ndarray:
+    """partial: only the rows that the data reach."""
     transforms, now = read_transforms(b, width, height)
-    pixels = read_image(b, now, height, True)
+    pixels = read_pixels(b, read_header(b, now, height, True), partial)
+    if partial:
+        height = len(pixels) // now
+        if not height:
+            return np.zeros((0, width), np.uint32)
     for kind, own, bits, side in reversed(transforms):
         if kind == PREDICTOR:
             pixels = unpredict(pixels, own, height, bits, side)
@@ -415,6 +424,18 @@ def decode(data: bytes) -> tuple[np.ndarray, bool]:
     return decode_body(b, width, height), alpha
 
 
+def decode_rows(data: bytes) -> tuple[np.ndarray, int]:
+    """Of a part of a bitstream, the pixels as far as they go (0 below) and the number of final rows."""
+    b = Bits(data)
+    if b.read(8) != 0x2F:
+        raise invalid("lossless signature")
+    width, height = b.read(14) + 1, b.read(14) + 1
+    if b.read(4) >> 1:
+        raise invalid("lossless version")
+    rows = decode_body(b, width, height, True)
+    return np.pad(rows, ((0, height - len(rows)), (0, 0))), len(rows)
+
+
 def decode_alpha(data: bytes, width: int, height: int) -> np.ndarray:
     """An alpha plane: the green of a lossless image without a header."""
     return (decode_body(Bits(data), width, height) >> 8 & 255).astype(np.uint8)
