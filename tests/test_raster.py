@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tessellar.plans import raster
+from tessellar.plans import codec, raster
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,11 +13,14 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", raster.QUERIES)
+QUERIES, SQL = raster.QUERIES | codec.QUERIES, raster.oracle_sql() | codec.oracle_sql()
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_equals_sql(spark, oracle, name):
-    want = oracle.execute(raster.oracle_sql()[name])
+    want = oracle.execute(SQL[name])
     columns = [d[0] for d in want.description]
-    got = raster.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     assert set(got.columns) == set(columns)
     rows = sorted(map(str, map(tuple, got.select(*columns).collect())))
     assert rows and rows == sorted(map(str, want.fetchall()))
