@@ -173,3 +173,32 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def sql() -> str:
+    """The query in SQL: every block against every template, every word against every phrase."""
+
+    def listed(words: list[str] | tuple[str, ...]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+
+    sets = sorted({(l, tuple(sorted(set(words_of(t))))) for l, t in TEMPLATES})
+    rows = ", ".join(f"('{l}', {listed(ws)}, {len(ws)}, {-int(-0.8 * len(ws) // 1)}, {listed([w for w in NAMES.get(l, ((), ()))[0] if w in ws])}, {listed(NAMES.get(l, ((), ()))[1])})" for l, ws in sets)
+    phrases = ", ".join(f"('{l}', {listed(p.split())}, {len(p.split())})" for p, l in PHRASES.items())
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}') AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
+phrases(label, phrase, size) AS (VALUES {phrases}),
+places AS (SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1:i + size] = phrase)) AS place FROM w, phrases WHERE contains(low, phrase[1])),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+templates(label, words, n, need, must, bars) AS (VALUES {rows}),
+blocks AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(regexp_replace(replace(replace(low, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '([.!?;])\s+', '\1' || chr(10) || chr(10), 'g'), '\n([ \t\x0B\x0C]*\n)+')), '{word}')) AS own FROM w),
+found AS (SELECT doc_id, label, max(len(list_intersect(own, words)) / n) AS score FROM blocks, templates WHERE len(own) >= need AND len(list_intersect(own, words)) >= need AND list_has_all(own, must) AND NOT list_has_any(own, bars) GROUP BY ALL),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM found GROUP BY doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.score, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base b USING (doc_id) LEFT JOIN more m USING (doc_id)
+"""
+
+
+SQL = sql()

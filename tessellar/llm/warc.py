@@ -142,3 +142,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return resolve(written(read_archives(spark, path), "warc-records")).withColumnRenamed("id", "page_id")
+
+
+SQL = """
+WITH r AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), h AS (SELECT page_id, strlen(payload) AS payload_bytes, upper(sha1(payload)) AS hex FROM r),
+d AS (SELECT *, list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) >> s) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM h),
+t AS (SELECT payload_digest, max(page_id) AS target FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> target THEN target END AS refers_to FROM d JOIN t USING (payload_digest)
+"""
