@@ -4,7 +4,9 @@ Payload digests are taken where the pages are read; headers alone (digest, id, U
 more than once names its response: the record with the largest id. The records of the others become revisits, which carry
 headers only and refer to the response. Archives are written by Spark's own writer into any file system that Spark knows:
 WARC/1.1 records end in two line breaks, so a text file with that separator is an archive (gzipped as a whole). Reading
-takes the archives back apart, checks lengths and digests, and joins each revisit to its response by digest.
+inflates archives piece by piece, so a task holds a compressed archive and one record; it checks lengths and digests, and joins
+each revisit to its response by digest. One digest (of empty pages, say) may hold much of the table: rows are told apart by digest
+and id before the joins on a digest, which adaptive execution can therefore split.
 
 A null payload is an empty one, a null URL an empty one; line breaks and spaces in URLs are percent-encoded. Payloads of any
 length are kept whole. Payloads shorter than `min_bytes` are always written as responses. Rows that repeat both id and
@@ -16,10 +18,10 @@ ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +57,10 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
         url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    heads = written(rows.where(F.col("bytes") >= min_bytes).select("digest", "id", "url"), "warc-heads")
+    heads = written(rows.where((F.col("bytes") >= min_bytes) & F.col("id").isNotNull()).groupBy("digest", "id").agg(F.max("url").alias("url")), "warc-heads")
     shared = heads.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("target"), F.min("id").alias("least")).where("least < target.id")
     shared = written(shared.select("digest", F.col("target.id").alias("target_id"), F.col("target.url").alias("target_url")), "warc-shared")
-    revisits = written(heads.select("digest", "id").join(shared, "digest").where("id != target_id").dropDuplicates(["digest", "id"]), "warc-revisits")
+    revisits = written(heads.select("digest", "id").join(shared, "digest").where("id != target_id"), "warc-revisits")
     return rows.join(revisits, ["digest", "id"], "left")
 
 
@@ -90,20 +92,51 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.select(record.alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record."""
+def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A gzip file's contents, some `size` bytes at a time; of several members, one after the other."""
     at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:end].decode().split(BREAK)
+    while at < len(data):
+        z, fed = zlib.decompressobj(31), memoryview(data)[at:]
+        while not z.eof:
+            out = z.decompress(fed, size)
+            if not out and not z.unconsumed_tail and not z.eof:
+                raise ValueError("an archive is cut short")
+            yield out
+            fed = z.unconsumed_tail
+        at = len(data) - len(z.unused_data)
+        if not z.unused_data:
+            break
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of every record of an archive that comes in parts."""
+    held, parts = bytearray(), iter(parts)
+
+    def need(n: int) -> bool:
+        """Whether n bytes are held, after taking what that needs."""
+        while len(held) < n:
+            part = next(parts, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while need(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            before = len(held)
+            if not need(before + 1):
+                raise ValueError("a record's headers are cut short")
+            end = held.find(b"\r\n\r\n", max(0, before - 3))
+        first, *lines = bytes(held[:end]).decode().split(BREAK)
         if not re.fullmatch(r"WARC/1\.\d", first):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one should begin")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(head["content-length"])
-        block = raw[end + 4 : end + 4 + size]
-        at = end + 8 + size
-        if len(block) < size or raw[at - 4 : at] != b"\r\n\r\n":
+        if not need(end + 8 + size) or held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
             raise ValueError(f"record {head.get('warc-record-id')} is cut short")
+        block = bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 8 + size]
         yield head, block
 
 
@@ -112,18 +145,26 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long", payload
     integer = id_type in ("int", "bigint", "long", "smallint", "tinyint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("id", pa.int64() if integer else pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to_record", pa.string()), ("content_length", pa.int64()), ("payload_bytes", pa.int64()), *([("payload", pa.binary())] if payloads else [])])
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
         for b in batches:
             for (content,) in zip(b.column(0), strict=True):
-                rows = []
-                for head, block in parse(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for head, block in parse(inflated(content.as_py())):
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     if head["warc-type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"record {head['warc-record-id']}: its payload does not have its digest")
                     own = head["warc-row-id"]
                     rows.append((head["warc-record-id"], head["warc-type"], (int(own) if integer else own) if own else None, head["warc-target-uri"], digest, head.get("warc-refers-to"), len(block), len(payload), *([payload] if payloads else [])))
-                schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("id", pa.int64() if integer else pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to_record", pa.string()), ("content_length", pa.int64()), ("payload_bytes", pa.int64()), *([("payload", pa.binary())] if payloads else [])])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                    held += len(payload) if payloads else 0
+                    if len(rows) >= 2000 or held > 32 << 20:
+                        yield made(rows)
+                        rows, held = [], 0
+                yield made(rows)
 
     shape = SHAPE.format(kind="long" if integer else "string") + ", payload binary" * payloads
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, shape)
