@@ -33,10 +33,14 @@ class Settings:
     k: int = 10
     scale: int = 1024
     shard_rows: int = 8192
-    block_queries: int = 2048
+    block_queries: int = 16_384  # a row is shuffled once for each block, so blocks are large
     leaf: int = 128
 
 
+#: Below any score: no kth one is known yet.
+LEAST = -(1 << 63)
+
+
 class Tree:
     """K-d tree over integer vectors: nodes in arrays; a leaf holds a range of the reordered rows."""
 
@@ -53,7 +57,7 @@ class Tree:
             self.span.append((lo, hi))
             lows.append(own.min(0))
             highs.append(own.max(0))
-            if hi - lo > leaf and (wide := (highs[-1] - lows[-1]).argmax()) is not None and highs[-1][wide] > lows[-1][wide]:
+            if hi - lo > leaf and own.shape[1] and highs[-1][wide := (highs[-1] - lows[-1]).argmax()] > lows[-1][wide]:
                 mid = (hi - lo) // 2
                 order[lo:hi] = order[lo:hi][np.argpartition(own[:, wide], mid)]
                 todo += [(lo, lo + mid, me), (lo + mid, hi, me)]
@@ -64,7 +68,7 @@ class Tree:
         """(queries, nodes): the largest inner product that each node's box admits."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, query: np.ndarray, own_id: int, bound: np.ndarray, k: int, kth: float) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own_id: int, bound: np.ndarray, k: int, kth: int) -> list[tuple[int, int]]:
         """Up to k (score, -id), the best of those that score at least kth."""
         best: list[tuple] = []
         heap = [(-bound[0], 0)]
@@ -91,12 +95,13 @@ class Tree:
 
 
 def matrix(vectors: pd.Series, scale: int) -> np.ndarray:
-    """floor(scale * x) as float64 where inner products stay below 2^53, else as Python integers."""
+    """floor(scale * x), whole numbers as float64."""
     v = np.floor(np.stack(vectors.to_list()).astype(np.float64) * scale) if len(vectors) else np.zeros((0, 0))
     return v
 
 
 def exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as they are where inner products stay below 2^53, else as Python integers."""
     top = max(np.abs(points).max(initial=0), np.abs(queries).max(initial=0))
     if points.shape[1] * top * top < 2**53:
         return points, queries
@@ -130,8 +135,7 @@ def top_k(rows: DataFrame, is_query: F.Column, settings: Settings | None = None,
             for at in range(0, len(q), 256):
                 bounds = tree.bounds(q[at : at + 256])
                 for i, b in enumerate(bounds, at):
-                    floor = -np.inf if np.isnan(start[i]) else start[i]
-                    out += [(own[i], -n, score) for score, n in tree.search(q[i], own[i], b, s.k, floor)]
+                    out += [(own[i], -n, score) for score, n in tree.search(q[i], own[i], b, s.k, int(start[i]))]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
     def searched(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -140,11 +144,11 @@ def top_k(rows: DataFrame, is_query: F.Column, settings: Settings | None = None,
     dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<int>"))).select("dim", "shard", "block", "id", "v")
     # first pass: each block's home shard
     homes = queries.select("dim", "block", home.alias("shard")).distinct()
-    first_queries = queries.select("dim", home.alias("shard"), "block", "id", "v", F.lit(None).cast("double").alias("kth"))
+    first_queries = queries.select("dim", home.alias("shard"), "block", "id", "v", F.lit(LEAST).cast("long").alias("kth"))
     first = written(searched(dealt.join(homes, ["dim", "shard", "block"], "left_semi"), first_queries), "first")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") >= s.k).select(F.col("query_id").alias("id"), "kth")
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= s.k).select(F.col("query_id").alias("id"), "kth")
     rest = queries.join(kth, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1).cast("array<int>"))).where(F.col("shard") != home)
-    second = searched(dealt, rest.select("dim", "shard", "block", "id", "v", "kth"))
+    second = searched(dealt, rest.select("dim", "shard", "block", "id", "v", F.coalesce("kth", F.lit(LEAST).cast("long")).alias("kth")))
     both = first.union(second)  # at most k rows for each query and shard
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= s.k).select("query_id", "rank", F.col("id").alias(id_col), "score")
