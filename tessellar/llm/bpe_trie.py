@@ -11,7 +11,6 @@ table gives an empty result; columns other than the id and the text are ignored,
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import unicodedata
@@ -20,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import still, table
 
 END = "</w>"
 #: White space as the tokenizer's patterns have it; U+001C to U+001F, which Python also counts, are not in it.
@@ -264,8 +263,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        gc.disable()  # the many small objects here are in no cycles
-        for b in batches:
+        for b in still(batches):
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 got = list(enc.encode([t or "" for t in part.column(1).to_pylist()]))

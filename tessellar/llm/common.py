@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,14 @@ def crc_mod(col: str, n: int) -> F.Column:
     """crc32 of the id's decimal text, modulo n: the fold of a row."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
+
+
+def still(batches: Iterator) -> Iterator:
+    """The batches, with the collector of cycles off until they end: what is made of them is many small objects in no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if on:
+            gc.enable()

@@ -15,7 +15,6 @@ other than the id and the text are ignored.
 from __future__ import annotations
 
 import bisect
-import gc
 import json
 import sys
 import zlib
@@ -29,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_trie import byte_alphabet
-from .common import table, written
+from .common import still, table, written
 
 CAPACITY, END_ID, KEPT = 1024, 2, 400_000
 
@@ -103,8 +102,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = model(tokenizer_path)
-        gc.disable()
-        for b in batches:
+        for b in still(batches):
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 owner, rows, ids = [], [], []
