@@ -134,12 +134,15 @@ def located(parts: Column, starts: Column) -> Column:
 def contexts(before: Column, after: Column) -> Column:
     """The hashes of an occurrence's patterns around it (at most three); none without a whole word before it. Brackets and quotes around it do not count."""
     before, after = F.regexp_replace(before, f"(?:{OPEN})+$", ""), F.regexp_replace(after, f"^{CLOSING}+", "")
-    left = F.regexp_extract_all(F.lower(before), F.lit(r"(?<=\s)\S+(?=\s)|^\S+(?=\s)|(?<=\s)\S+$"), 0)
-    one, two = F.element_at(left, -1), F.try_element_at(left, F.lit(-2))
     right = F.regexp_extract(F.lower(after), r"^\s+(\S+)", 1)
-    pair = F.when(two.isNotNull(), F.xxhash64(F.lit("L2"), two, one))
-    around = F.when(right != "", F.xxhash64(F.lit("LR"), one, right))
-    return F.when(F.size(left) > 0, F.array_compact(F.array(F.xxhash64(F.lit("L1"), one), pair, around))).otherwise(F.array().cast("array<bigint>"))
+
+    def patterns(left: Column) -> Column:
+        one, two = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
+        pair = F.when(two.isNotNull(), F.xxhash64(F.lit("L2"), two, one))
+        around = F.when(right != "", F.xxhash64(F.lit("LR"), one, right))
+        return F.when(one.isNotNull(), F.array_compact(F.array(F.xxhash64(F.lit("L1"), one), pair, around))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(F.regexp_extract_all(F.lower(before), F.lit(r"(?<=\s)\S+(?=\s)|^\S+(?=\s)|(?<=\s)\S+$"), 0), patterns)
 
 
 def octets(name: Column) -> Column:
@@ -168,9 +171,10 @@ def forms(name: Column, fits: dict[str, Column]) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a row: id, version (of the text), base spans (start, kind number, end), seeds and candidates with their patterns."""
     df = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    guards = {"email": F.contains("text", F.lit("@")), "ip": F.contains("text", F.lit(".")), "card": F.lit(True), "phone": F.contains("text", F.lit("+"))}
+    guards = {"email": F.contains("text", F.lit("@")), "ip": F.contains("text", F.lit(".")), "card": F.col("text").rlike("[0-9]"), "phone": F.contains("text", F.lit("+"))}
+    guards["cand"] = F.col("text").rlike(r"[0-9@]|[(\[](?i:at)[)\]]")  # what every candidate holds
     wanted = PATTERNS | {"cand": CANDIDATE}
-    df = df.withColumn("safe", F.translate("text", MARK, "\x02"))
+    df = df.withColumn("safe", F.when(F.contains("text", F.lit(MARK)), F.translate("text", MARK, "\x02")).otherwise(F.col("text")))
     none = F.array().cast("array<string>")
     # text and matches in turn, by one pass of the expression
     df = df.select("id", "text", *(F.when(guards.get(k, F.lit(True)), F.split(F.regexp_replace("safe", p, f"{MARK}$0{MARK}"), MARK, -1)).otherwise(none).alias(f"p_{k}") for k, p in wanted.items()))
