@@ -103,6 +103,13 @@ def info_json() -> F.Column:
 
 
 def info_text() -> F.Column:
-    """One line for each row of image_info."""
-    kinds = F.concat_ws(", ", F.when(F.col("has_alpha"), "alpha"), F.when(F.col("is_animation"), F.format_string("%d frames, %d loops", "frame_count", "loop_count")))
-    return F.concat(F.format_string("%dx%d %s", "width", "height", "coding"), F.when(kinds != "", F.concat(F.lit(", "), kinds)).otherwise(""))
+    """Lines of names and values for each row of image_info."""
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    lines = [("canvas", F.format_string("%dx%d", "width", "height")), ("coding", F.col("coding")), ("alpha", flag("has_alpha")), ("animation", flag("is_animation")), ("frames", F.col("frame_count").cast("string")), ("loops", F.col("loop_count").cast("string")), ("background", F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("background_argb"), 8, "0"))))]
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), v) for k, v in lines))
+
+
+def frame_text() -> F.Column:
+    """One line for each row of frame_table."""
+    flag = lambda c: F.col(c).cast("int")
+    return F.format_string("table %d: %dx%d at %d,%d duration %d dispose %d blend %d alpha %d complete %d", "frame_no", "width", "height", "pos_x", "pos_y", "duration", flag("dispose"), flag("no_blend"), flag("has_alpha"), flag("complete"))
