@@ -90,7 +90,7 @@ def phrase_places(norm: Column, n: Column, phrases: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, vocabulary: list[str], least: int, phrases: dict[str, str], id_col: str, text_col: str) -> DataFrame:
-    """One row a row: id, version (of the text), n_words, places of phrases, and blocks with `least` words of the vocabulary or more."""
+    """One row a row: id, version (of the text), n_words, places of phrases, blocks with `least` words of the vocabulary or more, and the numbers (from 1) of the vocabulary's words in the text."""
     df = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     df = df.select("id", F.xxhash64("text").alias("version"), F.translate("text", ascii_uppercase, ascii_lowercase).alias("low"))
     flat = F.concat(F.lit(" "), F.regexp_replace("low", SEPARATORS, " "), F.lit(" "))
@@ -98,15 +98,16 @@ def scan(docs: DataFrame, vocabulary: list[str], least: int, phrases: dict[str,
     df = df.withColumn("n", F.when(F.col("norm") == " ", 0).otherwise(spaces(F.col("norm")) - 1).cast("long"))
     own = F.array(*(F.lit(w) for w in vocabulary)) if vocabulary else F.array().cast("array<string>")
     blocks = F.transform(F.split("low", BLOCK_END, -1), lambda b: F.array_intersect(F.split(b, SEPARATORS, -1), own))
+    df = df.select("id", "version", "n", phrase_places(F.col("norm"), F.col("n"), phrases).alias("places"), blocks.alias("every"))
+    known = F.transform(F.array_distinct(F.flatten("every")), lambda w: F.array_position(own, w).cast("int"))
     # a text with no block of `least` known words cannot match; most blocks go here
-    return df.select("id", "version", "n", phrase_places(F.col("norm"), F.col("n"), phrases).alias("places"), F.filter(blocks, lambda b: F.size(b) >= least).alias("blocks"))
+    return df.select("id", "version", "n", "places", F.filter("every", lambda b: F.size(b) >= least).alias("blocks"), known.alias("known"))
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> DataFrame:
-    """word and n, the number of texts that hold it, over all docs; at most a row for each word of the vocabulary."""
-    own = F.array(*(F.lit(w) for w in vocabulary))
-    low = F.translate(text_or_empty(text_col), ascii_uppercase, ascii_lowercase)
-    return docs.select(F.explode(F.array_intersect(F.split(low, SEPARATORS, -1), own)).alias("word")).groupBy("word").count().withColumnRenamed("count", "n")
+def frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Of scanned rows, the number of texts that hold each word; at most a row for each word of the vocabulary."""
+    counts = rows.select(F.explode("known").alias("k")).groupBy("k").count().collect()
+    return {vocabulary[r["k"] - 1]: r["count"] for r in counts}
 
 
 def containment_join(blocks: DataFrame, templates: list[tuple[str, list[str]]], threshold: float, names: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] | None = None) -> DataFrame:
@@ -144,7 +145,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     shape = "id {}, version long, found array<struct<label:string,score:double>>".format(rows.schema["id"].dataType.simpleString())
     found = docs.sparkSession.createDataFrame([], shape)
     if sets:
-        n = {r["word"]: r["n"] for r in frequencies(docs, vocabulary, text_col).collect()}  # at most MOST_TEMPLATE_WORDS rows
+        n = frequencies(rows, vocabulary)  # at most MOST_TEMPLATE_WORDS rows
         order = sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
         ranked = F.array(*(F.lit(w) for w in order))
         blocks = rows.select("id", "version", F.explode("blocks").alias("block")).select("id", "version", F.array_intersect(ranked, "block").alias("set")).distinct()
@@ -156,7 +157,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         pairs = blocks.join(written(labels, "licenses-labels"), "set").select("id", "version", F.inline("labels"))
         found = pairs.groupBy("id", "version", "label").agg(F.max("score").alias("score")).groupBy("id", "version").agg(F.collect_list(F.struct("label", "score")).alias("found"))
     found = found.withColumnsRenamed({"id": "id_", "version": "version_"})
-    out = rows.drop("blocks").join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("version") == F.col("version_")), "left")
+    out = rows.drop("blocks", "known").join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("version") == F.col("version_")), "left")
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     more = F.coalesce(F.transform("found", lambda p: p["label"]), F.array().cast("array<string>"))
     return out.select(
