@@ -119,8 +119,12 @@ def picture_row(r: dict, frame: Frame | None, status: str, error: str, warnings:
     return (r["frame_no"], status, error, *own, r["duration"], r["timestamp"], r["pos_x"], r["pos_y"], r["dispose"], r["no_blend"], r["has_alpha"], r["key"], made.planes if made else None, warnings)
 
 
-def decode(files: DataFrame, options: Options | None = None, tables: vp8.Tables | None = None, id_col: str = "path") -> DataFrame:
-    """One row a picture: id_col and PICTURE. tables: the probabilities of lossy frames, without which these are unsupported."""
+def decode(files: DataFrame, options: Options | None = None, tables: vp8.Tables | None = None, id_col: str = "path", kind: str = "any") -> DataFrame:
+    """One row a picture: id_col and PICTURE. tables: the probabilities of lossy frames, without which these are unsupported.
+
+    kind: "stills" or "animations" where only such files are wanted; files are then read once. "any" reads them once for each kind, as
+    stills are not shuffled and frames are.
+    """
     options = (options or Options()).check()
     parts = explode_frames(files, options, id_col)
     alone = options.animation == SUBFRAME
@@ -141,7 +145,11 @@ def decode(files: DataFrame, options: Options | None = None, tables: vp8.Tables
     # pictures of files that are no animations need no canvas
     single = (F.col("still") | (F.col("canvas_w") == 0)) & (F.col("frame_no") == 0)
     stills = shaped(parts.where(single), id_col, PICTURE, finished)
+    if kind == "stills":
+        return stills
     moving = shaped(parts.where(~single), id_col, RAW, raw)
+    if kind == "animations":
+        return composite(moving, options, id_col)
     return stills.unionByName(composite(moving, options, id_col))
 
 

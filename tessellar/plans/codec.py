@@ -132,7 +132,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def animated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = decode.decode(moving(spark, sf_dir), Options(fmt="argb"))
+    got = decode.decode(moving(spark, sf_dir), Options(fmt="argb"), kind="animations")
     return as_image(got).select("image_id", "frame_no", "timestamp", F.md5(F.col("planes")[0]).alias("digest"))
 
 
@@ -142,14 +142,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "image_info": lambda s, d: as_image(container.image_info(stills(s, d))).select("image_id", "status", "width", "height", "has_alpha", "is_animation", "frame_count", "coding"),
     "riff_chunks": lambda s, d: as_image(container.riff_chunks(stills(s, d))).select("image_id", "seq", "tag", "offset", "size", "complete"),
     "frame_table": lambda s, d: as_image(container.frame_table(moving(s, d))).select("image_id", "frame_no", "pos_y", "width", "height", "duration", "no_blend", "has_alpha"),
-    "decode_lossless": lambda s, d: pixels_of(decode.decode(stills(s, d), Options(fmt="argb"))),
-    "decode_cropped": lambda s, d: pixels_of(decode.decode(stills(s, d), Options(fmt="argb", crop=(7, 1, 40, 4), flip=True))),
-    "decode_md5": lambda s, d: as_image(muxers.file_md5(decode.decode(stills(s, d), Options(fmt="rgba")))).select("image_id", "frames", "md5", "status"),
-    "decode_planar": lambda s, d: as_image(decode.decode(stills(s, d), Options(fmt="yuva420p"))).select("image_id", "width", "height", F.length(F.col("planes")[1]).cast("long").alias("chroma_bytes"), F.md5(F.col("planes")[0]).alias("luma_md5"), F.md5(F.col("planes")[3]).alias("alpha_md5")),
+    "decode_lossless": lambda s, d: pixels_of(decode.decode(stills(s, d), Options(fmt="argb"), kind="stills")),
+    "decode_cropped": lambda s, d: pixels_of(decode.decode(stills(s, d), Options(fmt="argb", crop=(7, 1, 40, 4), flip=True), kind="stills")),
+    "decode_md5": lambda s, d: as_image(muxers.file_md5(decode.decode(stills(s, d), Options(fmt="rgba"), kind="stills"))).select("image_id", "frames", "md5", "status"),
+    "decode_planar": lambda s, d: as_image(decode.decode(stills(s, d), Options(fmt="yuva420p"), kind="stills")).select("image_id", "width", "height", F.length(F.col("planes")[1]).cast("long").alias("chroma_bytes"), F.md5(F.col("planes")[0]).alias("luma_md5"), F.md5(F.col("planes")[3]).alias("alpha_md5")),
     "decode_animation": animated,
     "decode_subframes": lambda s, d: as_image(decode.decode(moving(s, d), Options(fmt="rgba", animation=SUBFRAME))).select("image_id", "frame_no", "height", F.md5(F.col("planes")[0]).alias("digest")),
     "decode_stream": streamed,
-    "mux_pam": lambda s, d: as_image(muxers.muxed(decode.decode(stills(s, d), Options(fmt="rgba")), "pam")).select("image_id", F.length("data").cast("long").alias("bytes"), F.md5("data").alias("digest")),
+    "mux_pam": lambda s, d: as_image(muxers.muxed(decode.decode(stills(s, d), Options(fmt="rgba"), kind="stills"), "pam")).select("image_id", F.length("data").cast("long").alias("bytes"), F.md5("data").alias("digest")),
 }
 SQL = {
     "image_info": SIZES + " SELECT image_id, 'ok' AS status, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, true AS has_alpha, false AS is_animation, CAST(1 AS INTEGER) AS frame_count, 'lossless' AS coding FROM z",
