@@ -175,10 +175,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted; learns from the labels whose crc32 fold (of 4) is not 2."""
+    """doc_id, held_out, score, predicted; learns from the labels whose crc32 fold (of 4) is not 2. Rows without an id are never learned from: held out."""
     settings = settings or Settings()
     model = fit(docs, labels.where(crc_mod("doc_id", 4) != 2), settings)
-    return score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
