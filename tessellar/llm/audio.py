@@ -11,8 +11,9 @@ chance too often. Of the distinct words only landmarks count, those whose hash i
 hash): the same sound has the same landmarks wherever a take starts. Only the first item of a run of equal ones votes, so silence does not drown the histogram. Candidates come from
 a prefix filter: words are ordered by their number of recordings over the whole table, rarest first, and of n distinct words two
 recordings that meet the share have one of their first n - ceil(share * n) + 1 in common. So a word that very many recordings
-hold is hardly ever looked up. Of a bucket, every member is held against the smallest one; then only members still in different
-components are compared, large buckets in blocks. Recordings with equal fingerprints form a class and are compared once.
+hold is hardly ever looked up. Every two members of a bucket are compared, once however many buckets they share: those of small
+buckets as rows; members of large ones lie in blocks, and blocks that meet in a word are held against each other. Recordings with
+equal fingerprints form a class and are compared once.
 
 Audio that is null, not 16-bit PCM WAV, or too short for an item has n_items 0 and is linked with nothing. Each row of the input
 gives a row; rows that share an id but not a fingerprint are grouped by their own fingerprints; null ids are kept, and a
@@ -53,8 +54,9 @@ class Settings:
     thin: int = 3  # one word of so many is a landmark
     share: float = 0.05
     bit_error: float = 0.2
-    pairwise: int = 24  # largest bucket whose open pairs are written as rows; larger ones are compared in blocks
-    block: int = 256  # members of a bucket that are compared with as many others in one task
+    pairwise: int = 24  # largest bucket whose pairs are written as rows; larger ones are compared in blocks
+    block: int = 128  # recordings that are compared with as many others in one task
+    block_items: int = 1 << 21  # and their items, but for one recording that has more
 
 
 def samples(data: bytes | None) -> tuple[np.ndarray, int] | None:
@@ -233,36 +235,68 @@ def confirmed(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "fp_a", "fp_b").mapInArrow(run, LINK)
 
 
-def open_links(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Links that join the components of a bucket's members, block against block; members: word, k, component, size.
+def in_common(own: list[np.ndarray], other: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of own, the number of its elements in each set of other."""
+    codes = np.unique(np.concatenate([*own, *other]), return_inverse=True)[1]
+    cuts = np.cumsum([len(x) for x in own])
+    *mine, rest = np.split(codes, cuts)
+    owner, held = np.repeat(np.arange(len(other)), [len(x) for x in other]), np.zeros(len(codes), bool)
+    for x in mine:
+        held[x] = True
+        yield np.bincount(owner[held[rest]], minlength=len(other))
+        held[x] = False
 
-    A block leaves out pairs that links found in it have joined, so it returns fewer rows than it has members.
+
+def block_links(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """a, b and n for each member of a large bucket and block that it has links in: n links, which join it to b.
+
+    members: word, hub, k, size. Each member lies in one block of those that have its home, the smallest hub of its large buckets, so
+    that near copies lie together however many words they share. Pairs that share a small bucket are left to its rows.
     """
     import pandas as pd
 
-    blocks = F.ceil(F.col("size") / s.block).cast("int")
-    rows = members.withColumn("own", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("word", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "component").join(classes.select("k", "fp"), "k")
+    large = members.where(F.col("size") > s.pairwise)
+    homes = written(large.groupBy("k").agg(F.min("hub").alias("home")).join(classes.select("k", "n"), "k"), "block-homes")
+    parts = F.greatest(F.ceil(F.count("*") / s.block), F.ceil(F.sum("n") / s.block_items))
+    parts = homes.groupBy("home").agg(parts.alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("k"), F.col("parts")))  # blocks whose hashes clash are one
+    blocks = written(homes.join(parts, "home").select("k", block.alias("block")), "blocks")
+    words_in = written(large.join(blocks, "k").select("word", "block").distinct(), "block-words")
+    x, y = (words_in.withColumnRenamed("block", c) for c in ("lo", "hi"))
+    meet = written(x.join(y, "word").where("lo <= hi").select("lo", "hi").distinct(), "block-pairs")
+    small = members.where(F.col("size") <= s.pairwise).groupBy("k").agg(F.collect_list("word").alias("small"))
+    inside = written(blocks.join(classes.select("k", "fp"), "k").join(small, "k", "left"), "block-members")
+    sides = meet.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi")))).withColumn("right", F.col("block") == F.col("hi"))
+    rows = sides.withColumn("left", F.col("block") == F.col("lo")).join(inside, "block").select("lo", "hi", "left", "right", "k", "fp", "small")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, out = pdf["lo"].iat[0], pdf["hi"].iat[0], []
-        names, own, root = pdf["k"].to_numpy(), pdf["own"].to_numpy(), pd.factorize(pdf["component"])[0]  # root: of each row, the group that links found here have made
-        fps = [bytes(f) for f in pdf["fp"]]
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        for i in left:
-            for j in right:
-                if root[i] != root[j] and (lo != hi or names[i] < names[j]):
-                    if got := linked_in_order(fps[i], fps[j], s):
-                        out.append((min(names[i], names[j]), max(names[i], names[j]), *got))
+        names, fps = pdf["k"].to_numpy(), [bytes(f) for f in pdf["fp"]]
+        sets = [landmarks(np.frombuffer(f, "<u4"), s) for f in fps]
+        few = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in pdf["small"]]
+        left, right = np.flatnonzero(pdf["left"]), np.flatnonzero(pdf["right"])
+        same, size = bool(pdf["left"].iat[0] and pdf["right"].iat[0]), np.array([len(x) for x in sets])
+        met = in_common([sets[i] for i in left], [sets[j] for j in right])
+        apart = in_common([few[i] for i in left], [few[j] for j in right])
+        root, n = np.arange(len(names)), np.zeros(len(names), np.int64)  # root: of each row, the group that links found here have made
+        for i, m, f in zip(left, met, apart, strict=True):
+            fit = (f == 0) & (m >= s.share * np.maximum(size[i], size[right]) - 1e-9)
+            for j in right[fit & (names[right] > names[i])] if same else right[fit]:
+                if linked_in_order(fps[i], fps[j], s):
+                    n[[i, j]] += 1
+                    if root[i] != root[j]:
                         root[root == root[j]] = root[i]
-        return pd.DataFrame(out, columns=["a", "b", "offset", "share", "error"])
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"a": names[at], "b": names[root[at]], "n": n[at]})
 
-    return rows.groupBy("word", "lo", "hi").applyInPandas(run, LINK)
+    # little data but long work: adaptive execution would put it into few tasks
+    return rows.repartition(max(1, min(meet.count(), 4096)), "lo", "hi").groupBy("lo", "hi").applyInPandas(run, "a long, b long, n long")
 
 
 def align_recordings(recordings: DataFrame, settings: Settings | None = None, id_col: str = "recording_id", audio_col: str = "audio") -> DataFrame:
-    """One row a row of recordings: id_col, n_items, fingerprint_sha256, component_id, kept, n_links (confirmed links of the class that joined its component; copies not counted)."""
+    """One row a row of recordings: id_col, n_items, fingerprint_sha256, component_id, kept, n_links (classes that its own is linked with, all of them; copies not counted)."""
     s = settings or Settings()
+    if not 0 < s.share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
     rows = written(fingerprints(recordings, s, id_col, audio_col), "fingerprints")
     classes = rows.where("n > 0").select("cls", "n", "fp").dropDuplicates(["cls"])
     classes = written(classes.select(F.monotonically_increasing_id().alias("k"), "cls", "n", "fp"), "fingerprint-classes")  # numbers keep the rows of words short
@@ -274,21 +308,15 @@ def align_recordings(recordings: DataFrame, settings: Settings | None = None, id
     prefix = written(prefix, "word-prefixes")
     buckets = prefix.groupBy("word").agg(F.min("k").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = written(prefix.join(buckets, "word"), "word-buckets")
-    pairs = members.where("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
-    links = written(confirmed(pairs, classes, s), "audio-links")
-    labels = components(links)
-    rest = members.where("k != hub and size > 2").join(labels.withColumnRenamed("id", "k"), "k", "left").select("word", "k", F.coalesce("component", "k").alias("component"))
-    mixed = rest.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("word", "size")
-    rest = written(rest.join(mixed, "word"), "open-words")
-    if not rest.isEmpty():
-        few = rest.where(F.col("size") <= s.pairwise)
-        x, y = (few.select("word", F.col("k").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-        few = x.join(y, "word").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))).select("a", "b").distinct()
-        late = confirmed(few, classes, s).union(open_links(rest.where(F.col("size") > s.pairwise), classes, s))
-        late = written(late, "audio-links")
-        links = links.union(late).dropDuplicates(["a", "b"])
-        labels = components(links)
-    ends = links.select(F.col("a").alias("k")).union(links.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
+    few = members.where(F.col("size") <= s.pairwise)
+    x, y = (few.select("word", F.col("k").alias(c)) for c in "ab")
+    pairs = x.join(y, "word").where("a < b").select("a", "b").distinct()
+    links = written(confirmed(pairs, classes, s).select("a", "b"), "audio-links")
+    ends = links.select(F.col("a").alias("k"), F.lit(1).alias("n")).union(links.select("b", F.lit(1)))
+    if not members.where(F.col("size") > s.pairwise).isEmpty():
+        late = written(block_links(members, classes, s), "audio-links")
+        links, ends = links.union(late.select("a", "b")), ends.union(late.select("a", "n"))
+    labels, ends = components(links), ends.groupBy("k").agg(F.sum("n").alias("n_links"))
     # a class without links is its own component
     names = classes.select("k", "cls").join(labels.withColumnRenamed("id", "k"), "k", "left").join(ends, "k", "left")
     names = written(names.select("cls", F.coalesce("component", "k").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "audio-components")

@@ -67,6 +67,23 @@ def test_large_buckets(spark):
         assert len({c for _, _, c in got}) == 8
 
 
+def test_every_link_counts(spark):
+    """n_links is that of all pairs of distinct fingerprints, also within groups whose members all meet, from small and large buckets and both."""
+    rng, rows = np.random.default_rng(11), []
+    for k, takes in enumerate((1, 2, 3, 5, 9)):
+        x = audio.melody(list(rng.normal(0, 0.125, 64)))
+        rows += [(10 * k + j, audio.wav((1 - 0.05 * j) * x[700 * j :] + rng.normal(0, 20, len(x) - 700 * j), 4000)) for j in range(takes)]
+    rows.append((99, rows[-1][1]))
+    df = spark.createDataFrame([(k, d, "x") for k, d in rows], SCHEMA)
+    s = audio.Settings()
+    fps = {k: audio.fingerprint(d, s).tobytes() for k, d in rows}
+    want = {k: sum(f != g and audio.linked_in_order(f, g, s) is not None for g in set(fps.values())) for k, f in fps.items()}
+    assert sum(want.values()) > 2 * (len(rows) - 5)
+    assert {r["recording_id"]: r["n_links"] for r in audio.align_recordings(df).collect()} == want
+    for s in (audio.Settings(pairwise=1, block=3), audio.Settings(pairwise=4, block=100), audio.Settings(pairwise=1, block_items=1000)):
+        assert {r["recording_id"]: r["n_links"] for r in audio.align_recordings(df, s).collect()} == want
+
+
 def test_takes_off_the_grid(spark):
     rng, rows = np.random.default_rng(5), []
     starts = [1, 16, 31, 32, 33, 64, 96, 128, 256, 300, 511, 8192 + 32, 8192 + 64 + 32, 8192 + 128, 8192 + 256, 9001]
