@@ -3,7 +3,8 @@
 A byte pair encoding is decided from left to right by *last tokens*: the last token of a prefix is the one token t, ending
 there, that is its own encoding and that may follow the last token of what stands before it (the pair encodes to itself).
 The last token of a prefix depends on that prefix alone, so all words that share a prefix share it. Each block of distinct
-words goes into a trie, the walk carries the last tokens of the path, and a shared prefix is worked out once.
+words goes into a trie, the walk carries the last tokens of the path, and a shared prefix is worked out once. A branch that
+holds one word ends in that word: its own letters need no nodes.
 
 Null texts count as empty and give no token. Texts of any length are encoded whole; repeated rows give equal rows; an empty
 table gives an empty result; columns other than the id and the text are ignored, so clashing names do no harm.
@@ -126,16 +127,27 @@ class TrieBPE:
                 self.pair_ok.clear()
             for w in todo[at : at + BLOCK]:
                 raw = w.encode()
-                node = root
-                for b in raw[:-1]:
-                    node = node.setdefault(b, {})
-                node.setdefault(256 + raw[-1], w)
+                node, last = root, len(raw) - 1
+                for i, b in enumerate(raw):
+                    if i == last:
+                        node[256 + b] = w
+                        break
+                    below = node.get(b)
+                    if below is None:
+                        node[b] = w
+                        break
+                    if type(below) is str:  # the branch held one word, which moves a letter down
+                        other = below.encode()
+                        node[b] = {other[i + 1] + 256 * (i + 2 == len(other)): below}
+                        below = node[b]
+                    node = below
             self._walk(root, out)
         return out
 
     def _walk(self, root: dict, out: dict[str, list[str]]) -> None:
         """lasts and sizes hold, for each prefix of the path, its last token and that token's number of symbols."""
         letters, pair_ok, may_follow = self.alphabet, self.pair_ok, self.may_follow
+        (inner, inner_lengths), (final, final_lengths) = self.by_end
         prefix, lasts, sizes = "", [], []
         stack = [iter(root.items())]
         while stack:
@@ -143,18 +155,36 @@ class TrieBPE:
             if step is None:
                 stack.pop()
                 if lasts:
-                    prefix = prefix[:-1]
                     lasts.pop()
                     sizes.pop()
                 continue
             b, below = step
-            ended = b >= 256  # a word ends here; its last symbol carries the mark
-            path = prefix + letters[b & 255]
-            n = len(path)
-            known, lengths = self.by_end[ended]
-            token, size = path[-1] + END if ended else path[-1], 1
-            for k in lengths.get(path[-3:]) or lengths.get(path[-2:], ()):
-                if k <= n and (t := known.get(path[n - k :])) is not None:
+            depth = len(lasts)
+            word = type(below) is str
+            path = "".join([letters[x] for x in below.encode()]) if word else prefix[:depth] + letters[b]
+            size = len(path)
+            for n in range(depth + 1, size if word else size + 1):
+                token, best = path[n - 1], 1
+                for k in inner_lengths.get(path[n - 3 : n] if n > 2 else path[:n]) or inner_lengths.get(path[n - 2 : n] if n > 1 else path[:n], ()):
+                    if k <= n and (t := inner.get(path[n - k : n])) is not None:
+                        if k < n:
+                            pair = (lasts[n - k - 1], t)
+                            ok = pair_ok.get(pair)
+                            if ok is None:
+                                ok = pair_ok[pair] = may_follow(*pair)
+                            if not ok:
+                                continue
+                        token, best = t, k
+                        break
+                lasts.append(token)
+                sizes.append(best)
+            if not word:
+                prefix = path
+                stack.append(iter(below.items()))
+                continue
+            token, best, n = path[-1] + END, 1, size  # the word's last symbol carries the mark
+            for k in final_lengths.get(path[-3:]) or final_lengths.get(path[-2:], ()):
+                if k <= n and (t := final.get(path[n - k :])) is not None:
                     if k < n:
                         pair = (lasts[n - k - 1], t)
                         ok = pair_ok.get(pair)
@@ -162,19 +192,14 @@ class TrieBPE:
                             ok = pair_ok[pair] = may_follow(*pair)
                         if not ok:
                             continue
-                    token, size = t, k
+                    token, best = t, k
                     break
-            if ended:
-                tokens = [token]
-                while n := n - size:
-                    tokens.append(lasts[n - 1])
-                    size = sizes[n - 1]
-                out[below] = tokens[::-1]
-            else:
-                prefix = path
-                lasts.append(token)
-                sizes.append(size)
-                stack.append(iter(below.items()))
+            tokens = [token]
+            while n := n - best:
+                tokens.append(lasts[n - 1])
+                best = sizes[n - 1]
+            out[below] = tokens[::-1]
+            del lasts[depth:], sizes[depth:]
 
 
 class TextEncoder:
@@ -188,8 +213,8 @@ class TextEncoder:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.cut = regex.compile(f"[{SPACE}]+")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.bpe.special, key=len, reverse=True)))) if self.bpe.special else None
-        self.ids: dict[str, str] = {}
-        self.toks: dict[str, str] = {}
+        self.numbers = {t: str(i) for t, i in self.bpe.vocab.items()}
+        self.known: dict[str, tuple[str, str]] = {}
 
     @staticmethod
     def normal(chunk: str) -> str:
@@ -203,9 +228,9 @@ class TextEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Puts the chunks' ids and tokens into memory, which holds at most 2 * KEPT chunks besides those of one call."""
-        if len(self.ids) + len(chunks) > 2 * KEPT:
-            self.ids.clear()
-            self.toks.clear()
+        known = self.known
+        if len(known) + len(chunks) > 2 * KEPT:
+            known.clear()
         cut, find = {}, self.words.findall
         for c in chunks:
             if c.isascii() and c.isalpha():
@@ -214,11 +239,21 @@ class TextEncoder:
                 cut[c] = (c[:-1].lower(), c[-1])
             else:
                 cut[c] = find(self.normal(c))
-        tokens = self.bpe.encode_words(w for ws in cut.values() for w in ws)
-        vocab = self.bpe.vocab
-        both = {w: (" ".join([str(vocab[t]) for t in ts]), " ".join(ts)) for w, ts in tokens.items()}
+        # a word that was a chunk of its own before (not of several words, as the regular expression cuts it) is known
+        words = {w for ws in cut.values() for w in ws}
+        both = {w: known[w] for w in words.intersection(known) if w.isascii() and w.isalpha() or find(self.normal(w)) == [w]}
+        number = self.numbers.__getitem__
+        for w, ts in self.bpe.encode_words(words.difference(both)).items():
+            both[w] = " ".join(map(number, ts)), " ".join(ts)
         for c, ws in cut.items():
-            self.ids[c], self.toks[c] = both[ws[0]] if len(ws) == 1 else map(" ".join, zip(*[both[w] for w in ws], strict=True))
+            if len(ws) == 1:
+                known[c] = both[ws[0]]
+            elif len(ws) == 2:
+                (i, t), (j, u) = both[ws[0]], both[ws[1]]
+                known[c] = f"{i} {j}", f"{t} {u}"
+            else:
+                i, t = zip(*[both[w] for w in ws], strict=True)
+                known[c] = " ".join(i), " ".join(t)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of tokens, ids and tokens, both joined by spaces."""
@@ -232,16 +267,16 @@ class TextEncoder:
                 parts.append(own + self.chunks(t[at:]))
             else:
                 parts.append(self.chunks(t))
-        ids, toks = self.ids, self.toks
-        if fresh := set().union(*parts).difference(ids):
-            if len(ids) + len(fresh) > 2 * KEPT:
+        known = self.known
+        if fresh := set().union(*parts).difference(known):
+            if len(known) + len(fresh) > 2 * KEPT:
                 fresh = set().union(*parts)
             self.learn({c for c in fresh if c[0] != " "})
-        ids.update((" " + t, str(i)) for t, i in self.bpe.special.items())  # no chunk of text starts with a space
-        toks.update((" " + t, t) for t in self.bpe.special)
+        known.update((" " + t, (str(i), t)) for t, i in self.bpe.special.items())  # no chunk of text starts with a space
         for p in parts:
-            i = " ".join([ids[c] for c in p])
-            yield i.count(" ") + bool(i), i, " ".join([toks[c] for c in p])
+            got = list(map(known.__getitem__, p))
+            i = " ".join([g[0] for g in got])
+            yield i.count(" ") + bool(i), i, " ".join([g[1] for g in got])
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -279,7 +314,7 @@ def encode_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         sha = hashlib.sha256
-        for b in batches:
+        for b in still(batches):
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 got = [(n, sha(i.encode()).hexdigest(), sha(d.encode()).hexdigest()) for n, i, d in enc.encode([t or "" for t in part.column(1).to_pylist()])]
